@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, mixing, token_counts
+from . import bpe, exact_dedup, fingerprints, licenses, mixing, token_counts
 from ._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -52,3 +52,10 @@ g AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM g""",
 }
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_fingerprints"] = op10_fingerprints
