@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, licenses, mixing, token_counts
+from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, token_counts
 from ._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,3 +59,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_fingerprints"] = op10_fingerprints
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES["op7_html_text"] = op7_html_text
