@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, token_counts
+from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, secret_scan, token_counts
 from ._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,3 +66,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_html_text"] = op7_html_text
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), model)
+
+
+QUERIES["op5_secret_scan"] = op5_secret_scan
