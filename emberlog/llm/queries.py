@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, secret_scan, token_counts
+from . import bpe, exact_dedup, fingerprints, html_text, jaccard, licenses, mixing, secret_scan, token_counts
 from ._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -74,3 +74,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_secret_scan"] = op5_secret_scan
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op1_jaccard_join"] = op1_jaccard_join
