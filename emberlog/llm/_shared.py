@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -43,6 +43,42 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of one bitmap row, as ``bitmap_construct_agg`` makes them.
+BITMAP_ROW = 32768
+#: At most 4096 bitmap rows of 4 KB: 16 MB to broadcast.
+BITMAP_BITS = 2**27
+
+
+def bitmap_size(n: int, bits_each: int = 16, most: int = BITMAP_BITS) -> int:
+    """A power of two near ``bits_each`` bits an entry, never over ``most``."""
+    return min(most, max(BITMAP_ROW, 1 << (max(1, n) * bits_each - 1).bit_length()))
+
+
+def bit_is_set(bitmap: str, position: str) -> Column:
+    """Whether the bit of ``position`` is set in its bitmap row (null: no)."""
+    at = f"cast({position} % {BITMAP_ROW} as int)"
+    byte = f"cast(conv(hex(substring({bitmap}, {at} div 8 + 1, 1)), 16, 10) as int)"
+    return F.expr(f"coalesce((shiftright({byte}, {at} % 8) & 1) = 1, false)")
+
+
+def id_bitmap(ids: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """A bitmap of bounded size that has a bit set for every id of ``col``."""
+    bits = bitmap_size(ids.count())
+    at = ids.select(F.pmod(F.xxhash64(col), F.lit(bits)).alias("p"))
+    rows = at.groupBy(F.expr(f"p div {BITMAP_ROW}").alias("__row")).agg(F.bitmap_construct_agg(F.col("p") % BITMAP_ROW).alias("__map"))
+    return materialize(rows), bits
+
+
+def in_bitmap(df: DataFrame, col: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be in the bitmap."""
+    return (
+        df.withColumn("__at", F.pmod(F.xxhash64(col), F.lit(bits)))
+        .join(F.broadcast(bitmap), F.expr(f"__at div {BITMAP_ROW}") == F.col("__row"))
+        .where(bit_is_set("__map", "__at"))
+        .drop("__at", "__row", "__map")
+    )
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the graph of ``edges(a, b)`` with long ids.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, jaccard, licenses, mixing, secret_scan, token_counts
+from . import bpe, exact_dedup, fingerprints, html_text, jaccard, licenses, mixing, quality, secret_scan, token_counts
 from ._shared import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -82,3 +82,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_jaccard_join"] = op1_jaccard_join
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op2_quality"] = op2_quality
