@@ -1,12 +1,82 @@
-"""Corpus pipeline: stages that take ``documents`` to encoded training text."""
+"""Corpus pipeline: stages that take ``documents`` to encoded training text.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from emberlog.llm import bpe, exact_dedup, jaccard, mixing, quality
+from emberlog.llm._shared import table, work_dir
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def _same_row(left: DataFrame, right: DataFrame):
+    return left.doc_id.eqNullSafe(right.k_id) & (left.k_th == right.k_th_r)
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are in ``kept`` (k_id, k_th_r), columns unchanged."""
+    keyed = docs.withColumn("k_th", F.xxhash64("text"))
+    return keyed.join(kept, _same_row(keyed, kept), "left_semi").select(*docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the rejected ones go."""
+    return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: the smallest id.
+
+    Near copies share 80 of 100 distinct shingles of five words or more.
+    Documents without words are near copies of nothing and stay.
+    """
+    found = jaccard.jaccard_components(docs, words=5, num=8, den=10)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
+    return _only(docs, kept.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th_r")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights: a document stands there as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, with the hash of what they decode to."""
+    return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("bpe encoding", encode_text),
+]
 
-STAGES: list = []
+# The classifier and the encoder have no form in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{work_dir(spark)}/emberlog-pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

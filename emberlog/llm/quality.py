@@ -300,7 +300,7 @@ def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR_SYMBOLS,
 ) -> DataFrame:
-    """One row per input row: id, lang, n_symbols, perplexity, score, threshold, accepted.
+    """One row per input row: id, lang, n_symbols, perplexity, score, threshold, accepted, th.
 
     ``score`` is the smoothed mean cost of a symbol in nats.  A document is
     rejected when its score is above the threshold of its language, the exact
@@ -308,7 +308,8 @@ def classify(
     and empty texts are rejected.  A language (null is one) without trusted
     text has no model: perplexity, score and threshold are null and its
     documents are accepted.  Repeated rows each give a row; extra columns of
-    ``docs`` are ignored.
+    ``docs`` are ignored.  ``th`` is a hash of the text, to tell rows of one id
+    apart.
     """
     base = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text")
@@ -319,7 +320,7 @@ def classify(
     # rows that are there twice were summed twice: the mean is the same
     meta = base.select("id", "row", "th", "lang", F.char_length("text").cast("bigint").alias("n_symbols"))
     found = materialize(
-        meta.join(sums, ["row", "th"], "left").select("id", "lang", F.coalesce("n_symbols", F.lit(0).cast("bigint")).alias("n_symbols"), (F.col("nll") / F.col("n") / _MICRO).alias("cost"))
+        meta.join(sums, ["row", "th"], "left").select("id", "th", "lang", F.coalesce("n_symbols", F.lit(0).cast("bigint")).alias("n_symbols"), (F.col("nll") / F.col("n") / _MICRO).alias("cost"))
     )
     good = labels.where("quality = 1").select(F.col(id_col).alias("__t")).distinct()
     of_good = materialize(found.join(good, F.col("id") == F.col("__t")).where("cost is not null").select("lang", "n_symbols", "cost"))
@@ -339,6 +340,15 @@ def classify(
         found.join(mean.join(limit, "lang"), "lang", "left")
         .withColumn("score", score)
         .select(
-            F.col("id").alias(id_col), "lang", "n_symbols", F.round(F.exp("cost"), 6).alias("perplexity"), "score", "threshold", accepted.alias("accepted")
+            F.col("id").alias(id_col), "lang", "n_symbols", F.round(F.exp("cost"), 6).alias("perplexity"), "score", "threshold",
+            accepted.alias("accepted"), "th",
         )
     )
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """``docs`` without the rows that :func:`classify` rejects, columns unchanged."""
+    verdicts = classify(docs, labels, id_col, text_col, **kwargs)
+    out = verdicts.where("NOT accepted").select(F.col(id_col).alias("__r"), F.col("th").alias("__rt")).distinct()
+    keyed = docs.withColumn("__th", F.xxhash64(text_col))
+    return keyed.join(out, keyed[id_col].eqNullSafe(F.col("__r")) & (F.col("__th") == F.col("__rt")), "left_anti").select(*docs.columns)

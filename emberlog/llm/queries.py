@@ -85,7 +85,7 @@ QUERIES["op1_jaccard_join"] = op1_jaccard_join
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
 
 
 QUERIES["op2_quality"] = op2_quality
