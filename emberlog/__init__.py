@@ -1,0 +1 @@
+"""Log analytics on Spark: ingest, suppression, search, rollups and retention."""
