@@ -381,7 +381,7 @@ def v2_ingest(spark, sf_dir):
 def wire_ingest(spark, sf_dir):
     items = driver_tables.events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet"))
     entries = F.transform(F.map_entries("context"), lambda e: F.struct(e["key"].alias("Key"), e["value"].alias("Value")))
-    code = F.create_map(*[F.lit(x) for kv in {"Info": 0, "Warning": 1, "Error": 2, "FatalError": 3, "Debug": 4}.items() for x in kv]).getItem(F.col("level"))
+    code = F.create_map(*[F.lit(x) for kv in {"Info": 0, "Warning": 1, "Error": 2, "FatalError": 3, "Debug": 4}.items() for x in kv])[F.col("level")]
     # the first Id is overridden by the one that follows
     ids = [F.struct(F.lit("Id").alias("Key"), x.alias("Value")) for x in (F.lit("stale"), F.col("id"))]
     wire = items.select(
@@ -413,6 +413,6 @@ def stream_hourly_stats(spark, sf_dir):
     return pipeline.hourly_once(spark, sf_dir)
 
 
-@query(_SUPPRESS + "SELECT id, rule, moment AS at, suppressed FROM m WHERE rule IS NOT NULL")
+@query(_SUPPRESS + "SELECT id, rule, moment, suppressed FROM m WHERE rule IS NOT NULL")
 def stream_suppression(spark, sf_dir):
-    return pipeline.suppression_once(spark, sf_dir, SINGLE_RULES)
+    return pipeline.suppression_once(spark, sf_dir, SINGLE_RULES).withColumnRenamed("at", "moment")

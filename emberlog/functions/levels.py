@@ -22,7 +22,7 @@ def parse_level(text: str) -> str:
 
 
 def _mapped(col: Column, table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv]).getItem(col)
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[col]
 
 
 def level_code(level: Column) -> Column:
