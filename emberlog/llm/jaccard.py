@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import connected_components, materialize
+from ._shared import connected_components, id_bitmap, in_bitmap, materialize
 
 GROUPS = 32
 LEAF = 32
@@ -554,14 +554,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("cluster", cid.alias("cid"), "d1", "d2", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
     )
     at_row = lambda left, right: left.id.eqNullSafe(right.id) & left.th.eqNullSafe(right.th)
-    points = passed.where("n > 0").select("id", "th", "n", "point")
+    points = in_bitmap(passed.where("n > 0").select("id", "th", "n", "point"), "th", *id_bitmap(near, "th"))
     members = near.join(points, at_row(near, points)).select("cluster", "cid", "n", "point")
     tight = connected_components(_chunked_links(materialize(members), POINT_CHUNK, t, False))
     chosen = materialize(
         near.join(tight.select(F.col("id").alias("cid"), F.col("component").alias("tight")), "cid")
         .select(F.col("tight").alias("cluster"), "cid", "id", "th")
     )
-    texts = base.join(chosen, at_row(base, chosen)).select("cluster", "cid", "text")
+    # few rows pass the bitmap, so that few texts shuffle
+    asked = in_bitmap(base, "th", *id_bitmap(chosen, "th"))
+    texts = asked.join(chosen, at_row(asked, chosen)).select("cluster", "cid", "text")
 
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
