@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the contracts: blank and the controls 9 to 13.
@@ -79,46 +82,56 @@ def in_bitmap(df: DataFrame, col: str, bitmap: DataFrame, bits: int) -> DataFram
     )
 
 
+def _least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the graph of edges a - b."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, root):
+            return nodes, nodes[root]
+        root = new
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the graph of ``edges(a, b)`` with long ids.
 
-    Alternating large-star and small-star rounds: every round rewires edges
-    towards the smallest neighbour, until all edges are (node, smallest id of
-    its component).  Minima are pre-aggregated on the map side, nothing is
-    collected but a count and a checksum.  Returns (id, component) for every
-    node of an edge between two different ids.
+    Each round sends every edge to the partitions of both its ends; a
+    partition replaces the edges it holds by stars, every node joined to the
+    smallest node of its component there.  Smaller ids spread and paths halve
+    until nothing changes.  One shuffle a round; nothing is collected but a
+    count and a checksum.  Returns (id, component) for every node of an edge
+    between two different ids, the component being its smallest id.
     """
 
-    def stars(pairs: DataFrame) -> DataFrame:
-        return pairs.where("u <> v").distinct()
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held))
+        node, least = _least_of_components(a, b)
+        keep = node != least
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=["a", "b"])
 
-    e = materialize(
-        stars(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    )
+    def local(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(stars, "a bigint, b bigint")
+
+    e = local(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b"))
     seen = None
     for _ in range(max_rounds):
-        sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        sent = e.withColumn("to", F.explode(F.array("a", "b"))).repartition("to").select("a", "b")
+        e = materialize(local(sent))
+        sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
         if sign == seen or sign[0] == 0:
             break
         seen = sign
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(
-            e.select(F.col("v").alias("x"), F.col("u").alias("y"))
-        )
-        least = both.groupBy("x").agg(F.min("y").alias("m"))
-        large = stars(
-            both.where("y > x")
-            .join(least, "x")
-            .select(F.col("y").alias("u"), F.least("x", "m").alias("v"))
-        )
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(near, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(near.select("u", F.col("m").alias("v")))
-        )
-        e = materialize(stars(small))
     else:
         raise RuntimeError("connected components did not converge")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    both = e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")))
+    return both.distinct()
