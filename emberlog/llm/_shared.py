@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **named: str | Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``__row``, so that no name of theirs
+    can clash with the columns ``named`` beside it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    return docs.select(row, *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in named.items()])
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates: ``spark.checkpoint.dir``.
 
@@ -68,21 +75,70 @@ def id_bitmap(ids: DataFrame, col: str) -> tuple[DataFrame, int]:
     """A bitmap of bounded size that has a bit set for every id of ``col``."""
     bits = bitmap_size(ids.count())
     at = ids.select(F.pmod(F.xxhash64(col), F.lit(bits)).alias("p"))
-    rows = at.groupBy(F.expr(f"p div {BITMAP_ROW}").alias("__row")).agg(F.bitmap_construct_agg(F.col("p") % BITMAP_ROW).alias("__map"))
+    rows = at.groupBy(F.expr(f"p div {BITMAP_ROW}").alias("__row_no")).agg(F.bitmap_construct_agg(F.col("p") % BITMAP_ROW).alias("__map"))
     return materialize(rows), bits
 
 
-def in_bitmap(df: DataFrame, col: str, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``df`` whose ``col`` may be in the bitmap."""
+def in_bitmap(df: DataFrame, col: str, bitmap: DataFrame, bits: int, negate: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be in the bitmap, or those where it surely is not."""
+    hit = bit_is_set("__map", "__at")
     return (
         df.withColumn("__at", F.pmod(F.xxhash64(col), F.lit(bits)))
-        .join(F.broadcast(bitmap), F.expr(f"__at div {BITMAP_ROW}") == F.col("__row"))
-        .where(bit_is_set("__map", "__at"))
-        .drop("__at", "__row", "__map")
+        .join(F.broadcast(bitmap), F.expr(f"__at div {BITMAP_ROW}") == F.col("__row_no"), "left")
+        .where(~hit if negate else hit)
+        .drop("__at", "__row_no", "__map")
     )
 
 
-def _least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: A key counts as heavy when it has over 1 / HEAVY_KEYS of all rows, so there
+#: are fewer heavy keys than this.
+HEAVY_KEYS = 256
+
+
+def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row per key of ``groups``.
+
+    ``size`` counts the rows of a key, ``total`` all rows.  The few heavy keys
+    are broadcast, at most ``HEAVY_KEYS`` rows, so that their rows stay where
+    they are; the others are joined by a shuffle.
+    """
+    limit = max(1, total // HEAVY_KEYS)
+    heavy = F.broadcast(groups.where(F.col(size) > limit))
+    light = groups.where(F.col(size) <= limit)
+    rest = rows.join(F.broadcast(groups.where(F.col(size) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", most: int = 10_000, salts: int = 64) -> DataFrame:
+    """Join with a table that has few rows, one per key, such as one per language.
+
+    Up to ``most`` rows it is broadcast.  Beyond, it is copied ``salts`` times
+    and joined by key and salt, so that no key gathers in one task.
+    """
+    few = materialize(few)
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), key, how)
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows of an id and text hash in ``gone`` (id, th).
+
+    Rows whose text hash is not in a bitmap of those that go pass straight
+    through; only the others shuffle.
+    """
+    gone = materialize(gone.select("id", "th").distinct())
+    bitmap, bits = id_bitmap(gone, "th")
+    rows = packed(docs, __id=F.col(id_col).cast("bigint"), __th=F.xxhash64(text_col))
+    pass_, maybe = in_bitmap(rows, "__th", bitmap, bits, True), in_bitmap(rows, "__th", bitmap, bits)
+    out = gone.select(F.col("id").alias("__g"), F.col("th").alias("__gth")).hint("merge")
+    left = maybe.join(out, F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__th") == F.col("__gth")), "left_anti")
+    return pass_.select("__row.*").unionByName(left.select("__row.*"))
+
+
+def least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of the graph of edges a - b."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     u, v = at[: len(a)], at[len(a) :]
@@ -111,22 +167,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        held = [tuple(b.column(c).to_numpy() for c in ("to", "a", "b")) for b in batches]
         if not held:
             return
-        a, b = (np.concatenate(x) for x in zip(*held))
-        node, least = _least_of_components(a, b)
-        keep = node != least
+        to, a, b = (np.concatenate(x) for x in zip(*held))
+        node, least = least_of_components(a, b)
+        # the partition that a node belongs to has all its edges and tells its
+        # label; others tell only what that partition cannot know
+        known = node.copy()
+        at_a, at_b = np.searchsorted(node, a), np.searchsorted(node, b)
+        np.minimum.at(known, at_a, b)
+        np.minimum.at(known, at_b, a)
+        own = np.zeros(len(node), bool)
+        own[np.searchsorted(node, to)] = True
+        keep = np.where(own, least < node, least < known)
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=["a", "b"])
 
-    def local(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(stars, "a bigint, b bigint")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if held:
+            node, least = least_of_components(*(np.concatenate(x) for x in zip(*held)))
+            keep = least < node
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=["a", "b"])
 
-    e = local(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b"))
+    e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").mapInArrow(first, "a bigint, b bigint")
     seen = None
     for _ in range(max_rounds):
-        sent = e.withColumn("to", F.explode(F.array("a", "b"))).repartition("to").select("a", "b")
-        e = materialize(local(sent))
+        sent = e.withColumn("to", F.explode(F.array("a", "b"))).repartition("to")
+        e = materialize(sent.mapInArrow(stars, "a bigint, b bigint"))
         sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
         if sign == seen or sign[0] == 0:
             break

@@ -37,14 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import connected_components, id_bitmap, in_bitmap, materialize
+from ._shared import connected_components, id_bitmap, in_bitmap, join_heavy, least_of_components, materialize
 
 GROUPS = 32
 LEAF = 32
 FAN_OUT = 16
-#: Points, and sets, that one chunk of a cluster holds.
+#: Points, and shingles of sets, that one chunk of a cluster holds.
 POINT_CHUNK = 16_384
-SET_CHUNK = 512
+SET_CHUNK = 1 << 21
 PIVOTS = 4
 _PIECE = 1 << 22
 _FLUSH_PAIRS = 1 << 21
@@ -468,8 +468,12 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
     )
 
 
-def _chunked_links(members: DataFrame, chunk: int, t: Threshold, with_sets: bool) -> DataFrame:
-    """Edges (a, b) between ``members`` (cluster, cid, n, point[, hashes]) of a cluster."""
+def _chunked_components(members: DataFrame, chunk: int, t: Threshold, with_sets: bool) -> DataFrame:
+    """(id, component) of ``members`` (cluster, cid, n, point[, hashes]) that link.
+
+    Links are sought within clusters.  ``chunk`` bounds what one task holds of
+    a cluster: members, or shingles where sets are compared.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -480,7 +484,9 @@ def _chunked_links(members: DataFrame, chunk: int, t: Threshold, with_sets: bool
             points = np.frombuffer(b"".join(tb["point"].take(keep).to_pylist()), np.int32).reshape(-1, GROUPS)
             sets = [np.frombuffer(x, np.uint64) for x in tb["hashes"].take(keep).to_pylist()] if with_sets else None
             e = link_group(pick("n"), points, sets, pick("asks").astype(bool), pick("part"), t)
-            return pa.RecordBatch.from_arrays([pa.array([cid[keep[i]] for i, _ in e], pa.int64()), pa.array([cid[keep[j]] for _, j in e], pa.int64())], names=["a", "b"])
+            ends = cid[keep[np.array(e, np.int64).reshape(-1, 2)]]
+            node, least = least_of_components(ends[:, 0], ends[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["a", "b"])
 
         now, rows = None, []
         for b in batches:
@@ -503,17 +509,19 @@ def _chunked_links(members: DataFrame, chunk: int, t: Threshold, with_sets: bool
         return df.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(kernel, "a bigint, b bigint")
 
     cols = ["cluster", "cid", "n", "point", *(["hashes"] if with_sets else [])]
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "cluster").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
+    weight = F.sum("n") if with_sets else F.count("*")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.ceil(weight / chunk).cast("int").alias("chunks"))
+    sized = members.join(sizes, "cluster")
     own = F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks").cast("bigint")).cast("int")
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("cid", F.lit(6)), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0)
     first = sized.withColumn("chunk", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))).select(
         *cols, "chunk", F.lit(True).alias("asks"), F.col("cid").alias("part")
     )
     edges = materialize(solved(first))
+    if sizes.where("chunks > 1").isEmpty():
+        # every cluster was in one chunk: its stars are its components
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = materialize(sized.where("chunks > 1").select(*cols, "chunks", own.alias("chunk")))
-    if large.isEmpty():
-        return edges
     # what the chunks of a cluster leave apart meets all chunks
     parts = connected_components(edges)
     parted = materialize(
@@ -524,7 +532,7 @@ def _chunked_links(members: DataFrame, chunk: int, t: Threshold, with_sets: bool
     open_ = parted.join(main, "cluster").where("parts > 1")
     stray = F.col("part") != F.col("main")
     second = open_.withColumn("asks", stray).withColumn("chunk", F.explode(F.when(stray, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
-    return edges.union(solved(second.select(*cols, "chunk", "asks", "part")))
+    return connected_components(edges.union(solved(second.select(*cols, "chunk", "asks", "part"))))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -545,7 +553,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     passed = materialize(_first_pass(base, words, t, buckets))
     node = F.expr("d1 & 281474976710655")
     rows = passed.where("n is not null").select("id", "th", "n", "d1", "d2")
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th")).alias("first"))
+    classes = materialize(
+        rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("copies"))
+    )
     cid: Column = F.xxhash64("d1", "d2")
 
     clusters = connected_components(passed.where("a is not null").select("a", "b"))
@@ -556,7 +566,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at_row = lambda left, right: left.id.eqNullSafe(right.id) & left.th.eqNullSafe(right.th)
     points = in_bitmap(passed.where("n > 0").select("id", "th", "n", "point"), "th", *id_bitmap(near, "th"))
     members = near.join(points, at_row(near, points)).select("cluster", "cid", "n", "point")
-    tight = connected_components(_chunked_links(materialize(members), POINT_CHUNK, t, False))
+    tight = _chunked_components(materialize(members), POINT_CHUNK, t, False)
     chosen = materialize(
         near.join(tight.select(F.col("id").alias("cid"), F.col("component").alias("tight")), "cid")
         .select(F.col("tight").alias("cluster"), "cid", "id", "th")
@@ -578,11 +588,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     sets = materialize(texts.mapInArrow(reshingle, "cluster bigint, cid bigint, n bigint, point binary, hashes binary"))
-    links = connected_components(_chunked_links(sets, SET_CHUNK, t, True))
-    named = classes.select("d1", "d2", "rep", cid.alias("cid")).join(links.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    links = _chunked_components(sets, SET_CHUNK, t, True)
+    named = classes.select("d1", "d2", "rep", "copies", cid.alias("cid")).join(links.select(F.col("id").alias("cid"), "component"), "cid", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    final = named.join(least, "component", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(final, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select(
-        F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    final = materialize(named.join(least, "component", "left").select("d1", "d2", "copies", F.coalesce("least", "rep").alias("component_id")))
+    filled, empty = rows.where("n > 0"), rows.where("n = 0").withColumn("component_id", F.col("id"))
+    out = join_heavy(filled, final, ["d1", "d2"], "copies", rows.count()).drop("copies").unionByName(empty)
+    return out.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "component_id")
