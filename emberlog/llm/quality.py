@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import id_bitmap, in_bitmap, materialize
+from ._shared import id_bitmap, in_bitmap, join_few, materialize, without_rows
 
 ORDER = 3
 ALPHABET = 64
@@ -293,7 +293,8 @@ def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     """
     ids = materialize(labels.where("quality = 1").select(F.col(id_col).alias("__t")).where("__t is not null").distinct())
     maybe = in_bitmap(docs, id_col, *id_bitmap(ids, "__t"))
-    return maybe.join(ids, F.col(id_col) == F.col("__t")).drop("__t")
+    # the same plan at every size: texts meet labels by a shuffle, never by a broadcast
+    return maybe.join(ids.hint("merge"), F.col(id_col) == F.col("__t")).drop("__t")
 
 
 def classify(
@@ -323,10 +324,11 @@ def classify(
         meta.join(sums, ["row", "th"], "left").select("id", "th", "lang", F.coalesce("n_symbols", F.lit(0).cast("bigint")).alias("n_symbols"), (F.col("nll") / F.col("n") / _MICRO).alias("cost"))
     )
     good = labels.where("quality = 1").select(F.col(id_col).alias("__t")).distinct()
-    of_good = materialize(found.join(good, F.col("id") == F.col("__t")).where("cost is not null").select("lang", "n_symbols", "cost"))
+    of_good = materialize(found.join(good.hint("merge"), F.col("id") == F.col("__t")).where("cost is not null").select("lang", "n_symbols", "cost"))
     mean = of_good.groupBy("lang").agg(F.round(F.sum(F.round(F.col("cost") * _MICRO).cast("bigint")) / F.count("*") / _MICRO, 6).alias("mean"))
     smooth = (F.col("cost") * F.col("n_symbols") + F.col("mean") * prior) / (F.col("n_symbols") + prior)
-    steps = of_good.join(mean, "lang").groupBy("lang", F.ceil(smooth * 10_000).alias("step")).agg(F.count("*").alias("k"))
+    mean = materialize(mean)
+    steps = join_few(of_good, mean, "lang").groupBy("lang", F.ceil(smooth * 10_000).alias("step")).agg(F.count("*").alias("k"))
     # few rows per language: one per step
     in_lang = "PARTITION BY lang"
     limit = (
@@ -337,7 +339,7 @@ def classify(
     score = F.round(smooth, 9)
     accepted = (F.col("n_symbols") > 0) & F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True))
     return (
-        found.join(mean.join(limit, "lang"), "lang", "left")
+        join_few(found, mean.join(limit, "lang"), "lang", "left")
         .withColumn("score", score)
         .select(
             F.col("id").alias(id_col), "lang", "n_symbols", F.round(F.exp("cost"), 6).alias("perplexity"), "score", "threshold",
@@ -349,6 +351,5 @@ def classify(
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` without the rows that :func:`classify` rejects, columns unchanged."""
     verdicts = classify(docs, labels, id_col, text_col, **kwargs)
-    out = verdicts.where("NOT accepted").select(F.col(id_col).alias("__r"), F.col("th").alias("__rt")).distinct()
-    keyed = docs.withColumn("__th", F.xxhash64(text_col))
-    return keyed.join(out, keyed[id_col].eqNullSafe(F.col("__r")) & (F.col("__th") == F.col("__rt")), "left_anti").select(*docs.columns)
+    gone = verdicts.where("NOT accepted").select(F.col(id_col).alias("id"), "th")
+    return without_rows(docs, gone, id_col, text_col)
