@@ -4,8 +4,8 @@ A tolerant parser builds the element tree.  Every node has a link-adjusted
 density, characters per tag made smaller by the share of link text; the
 density sum of a node adds the densities of its children.  The node of the
 largest sum carries the text.  The smallest density on its path to the body is
-the threshold: every other subtree that reaches it gives its own node of the
-largest sum.  A node inside an article or main element stands for that
+the threshold: every subtree beside the path that reaches it gives its own
+node of the largest sum.  A node inside an article or main element stands for that
 element.  Elements that are never text (navigation, forms, adverts, reader
 comments and the like) do not count and are left out.
 """
@@ -191,9 +191,10 @@ class _Tree:
         best = max(range(n), key=lambda i: (total[i], -i))
         if total[best] <= 0:
             return {0}
-        low, i = density[best], best
+        low, i, path = density[best], best, {best}
         while i > 0:
             i = self.parent[i]
+            path.add(i)
             low = min(low, density[i])
         # the node of the largest sum in every subtree
         top = list(range(n))
@@ -201,7 +202,9 @@ class _Tree:
             p = self.parent[i]
             if (total[top[i]], -top[i]) > (total[top[p]], -top[p]):
                 top[p] = top[i]
-        found = {top[i] for i in range(n) if i and density[i] >= low and (total[top[i]] > 0 or density[i] > 0)} | {best}
+        # subtrees that hang on the path
+        beside = (i for i in range(1, n) if self.parent[i] in path and i not in path and self.parent[i] != best)
+        found = {top[i] for i in beside if density[i] >= low and density[i] > 0} | {best}
         whole = set()
         for i in found:
             at, up = i, i
