@@ -12,12 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import SPACE, materialize
+from ._shared import BITMAP_BITS, BITMAP_ROW, SPACE, bit_is_set, bitmap_size, join_heavy, materialize, packed
 
-#: Bits of one bitmap row, as ``bitmap_construct_agg`` makes them.
-_ROW_BITS = 32768
 BITS_PER_ROW = 16
-MAX_BITS = 2**27
 
 
 def normalised(text: Column) -> Column:
@@ -37,15 +34,10 @@ def _positions(bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64("__sha", F.lit(k)), F.lit(bits)) for k in (1, 2)]
 
 
-def filter_bits(n_rows: int, max_bits: int = MAX_BITS) -> int:
-    """A power of two near 16 bits a row, never over ``max_bits``."""
-    return min(max_bits, max(_ROW_BITS, 1 << (max(1, n_rows) * BITS_PER_ROW - 1).bit_length()))
-
-
 def repeated_bitmap(signed: DataFrame, bits: int) -> DataFrame:
     """Bitmap rows (__row, __map) of the positions met at least twice.
 
-    At most bits / 32768 rows of 4 KB: ``MAX_BITS`` bounds them at 16 MB.
+    At most bits / 32768 rows of 4 KB: ``BITMAP_BITS`` bounds them at 16 MB.
     """
     p, q = _positions(bits)
     twice = (
@@ -56,8 +48,8 @@ def repeated_bitmap(signed: DataFrame, bits: int) -> DataFrame:
         .select((F.col("pos") % bits).alias("pos"), (F.col("pos") >= bits).alias("second"))
     )
     return twice.groupBy(
-        "second", F.expr(f"pos div {_ROW_BITS}").alias("__row")
-    ).agg(F.bitmap_construct_agg(F.col("pos") % _ROW_BITS).alias("__map"))
+        "second", F.expr(f"pos div {BITMAP_ROW}").alias("__row")
+    ).agg(F.bitmap_construct_agg(F.col("pos") % BITMAP_ROW).alias("__map"))
 
 
 def possibly_repeated(signed: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
@@ -71,15 +63,9 @@ def possibly_repeated(signed: DataFrame, bitmap: DataFrame, bits: int) -> DataFr
             )
         )
         out = out.withColumn(f"__pos{k}", p).join(
-            side, F.expr(f"__pos{k} div {_ROW_BITS}") == F.col(f"__row{k}"), "left"
-        )
-        at = f"cast(__pos{k} % {_ROW_BITS} as int)"
-        hits.append(
-            F.expr(
-                f"coalesce((shiftright(cast(conv(hex(substring(__map{k}, {at} div 8 + 1, 1)), 16, 10) as int),"
-                f" {at} % 8) & 1) = 1, false)"
-            )
+            side, F.expr(f"__pos{k} div {BITMAP_ROW}") == F.col(f"__row{k}"), "left"
         )
+        hits.append(bit_is_set(f"__map{k}", f"__pos{k}"))
     return out.withColumn("__maybe", hits[0] & hits[1]).drop(
         *[f"__{n}{k}" for k in (0, 1) for n in ("pos", "row", "map")]
     )
@@ -91,7 +77,7 @@ def _best() -> Column:
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = BITMAP_BITS
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -104,7 +90,8 @@ def exact_groups(
     signed = materialize(
         _signed(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").drop("__text")
     )
-    bits = filter_bits(signed.count(), max_bits)
+    total = signed.count()
+    bits = bitmap_size(total, BITS_PER_ROW, max_bits)
     tested = possibly_repeated(signed, materialize(repeated_bitmap(signed, bits)), bits)
     alone = tested.where(~F.col("__maybe")).select(
         F.col("__id").alias(id_col),
@@ -116,10 +103,11 @@ def exact_groups(
     rows = materialize(
         tested.where("__maybe").groupBy("__sha", "__id", "__len").agg(F.count("*").alias("__rows"))
     )
-    groups = rows.groupBy("__sha").agg(_best().alias("keep_id"), F.sum("__rows").alias("group_size"),
-                                       F.max("__len").alias("__keep_len"))
+    groups = materialize(
+        rows.groupBy("__sha").agg(_best().alias("keep_id"), F.sum("__rows").alias("group_size"), F.max("__len").alias("__keep_len"))
+    )
     shared = (
-        rows.join(groups, "__sha")
+        join_heavy(rows, groups, ["__sha"], "group_size", total)
         .withColumn("__k", F.explode(F.expr("sequence(1L, __rows)")))
         .select(
             F.col("__id").alias(id_col),
@@ -133,25 +121,26 @@ def exact_groups(
 
 
 def drop_exact_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = BITMAP_BITS
 ) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns unchanged.
 
     Which row stays is as in :func:`exact_groups`.  Rows that the filter
     shows to be unique pass without a shuffle.
     """
-    signed = _signed(docs, text_col)
+    signed = _signed(packed(docs, __id=id_col, __text=text_col), "__text").drop("__text")
     slim = materialize(signed.select("__sha"))
-    bits = filter_bits(slim.count(), max_bits)
+    total = slim.count()
+    bits = bitmap_size(total, BITS_PER_ROW, max_bits)
     tested = possibly_repeated(signed, materialize(repeated_bitmap(slim, bits)), bits)
-    own = list(docs.columns)
-    alone = tested.where(~F.col("__maybe")).select(*own)
-    maybe = tested.where("__maybe").withColumn("__id", F.col(id_col))
-    keep = maybe.groupBy("__sha").agg(_best().alias("__keep"), F.max("__len").alias("__keep_len"))
+    alone = tested.where(~F.col("__maybe")).select("__row.*")
+    maybe = tested.where("__maybe")
+    keep = materialize(
+        maybe.groupBy("__sha").agg(_best().alias("__keep"), F.max("__len").alias("__keep_len"), F.count("*").alias("__size"))
+    )
     stay = (
-        maybe.join(keep, "__sha")
+        join_heavy(maybe, keep, ["__sha"], "__size", total)
         .where(F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__len") == F.col("__keep_len")))
-        .select("__sha", F.struct(*own).alias("__row"))
         .groupBy("__sha")
         .agg(F.first("__row").alias("__row"))
         .select("__row.*")
