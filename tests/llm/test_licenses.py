@@ -29,7 +29,7 @@ def result(df):
 
 
 def test_driver_table(spark, sf_dir, texts):
-    assert result(queries.op9_license_scan(spark, sf_dir)) == {i: brute(t) for i, t in texts.items()}
+    assert result(licenses.scan_licenses(queries.table(spark, sf_dir, 'documents'))) == {i: brute(t) for i, t in texts.items()}
 
 
 def test_awkward_rows(make):
