@@ -13,6 +13,11 @@ from ..operators.search import SearchRequest, search_logs, search_tool
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
+def is_ui_url(url: str) -> bool:
+    """Only https addresses are taken as the address of the user interface."""
+    return url.startswith("https")
+
+
 def decode_range(from_time: int, to_time: int, now: datetime) -> tuple[datetime, datetime] | None:
     """(low, high), both included, or None for an empty range.
 

@@ -22,6 +22,18 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, expired: DataFrame) -> int:
+    """Deletes the folders of ``expired`` (level, hour_key) partitions of a stored table.
+
+    Returns how many were there.  Their number is bounded by hours times levels.
+    """
+    jvm, dropped = spark._jvm, 0
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for level, key in expired.select("level", "hour_key").distinct().collect():
+        dropped += fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/level={level}/hour_key={key}"), True)
+    return dropped
+
+
 def write_rollup_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("overwrite").json(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.timekeys import key_bounds, key_of, parse_key
 from emberlog.operators import insights, retention, rollups, rules, search, suppression
-from emberlog.plans.requests import decode_range, read_request, tool_request
+from emberlog.plans.requests import decode_range, is_ui_url, read_request, tool_request
 from emberlog.schema import log_rows
 from emberlog.sinks import results, tables
 from emberlog.sources import driver_tables
@@ -253,6 +253,22 @@ def test_stored_table_is_pruned(spark, sf_dir, tmp_path):
     assert ids(found) == ids(want)
 
 
+def test_expired_partitions_are_deleted(spark, sf_dir, tmp_path):
+    now, r = datetime(2024, 1, 5, 12, 30, tzinfo=UTC), retention.Retention(high_hours=24)
+    rows = driver_tables.events(spark, sf_dir).where("hour_key BETWEEN 2024010400 AND 2024010523")
+    tables.write_logs(rows, str(tmp_path / "t"))
+    back = tables.read_logs(spark, str(tmp_path / "t"))
+    gone = retention.expired_partitions(back, now, r)
+    n = gone.count()
+    assert n and tables.drop_partitions(spark, str(tmp_path / "t"), gone) == n
+    left = tables.read_logs(spark, str(tmp_path / "t"))
+    assert sorted(ids(left)) == sorted(ids(retention.survivors(rows, now, r)))
+
+
+def test_ui_url():
+    assert is_ui_url("https://x") and not is_ui_url("http://x")
+
+
 def test_no_python_in_batch_plans(spark, sf_dir):
     from emberlog.catalogue import QUERIES
 
