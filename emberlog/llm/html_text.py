@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from ._shared import lean
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
@@ -42,13 +44,14 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _LISTS = frozenset("ul ol dl table tbody thead tfoot select".split())
 # Elements and the names in class or id that are not part of an article.
 _NEVER = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea title iframe object embed svg canvas audio video menu dialog xmp noembed noframes input".split()
+    "head script style noscript template nav footer aside form button select option textarea title iframe object embed svg canvas audio video menu dialog xmp noembed noframes input fieldset label legend datalist optgroup".split()
 )
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar "
     "comment comments disqus respond nav navbar navigation menu breadcrumb breadcrumbs footer masthead social share sharing related recommended newsletter subscribe "
     "popup modal overlay widget pagination pager toolbar".split()
 )
+_BEGINNINGS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "promo", "sponsor", "banner", "footer", "navbar", "subscri", "popup")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WHOLE = frozenset(("article", "main"))
 
@@ -62,7 +65,7 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             words = _WORDS.split(value)
-            if not _NAMES.isdisjoint(words) or ("header" in words and not in_article):
+            if not _NAMES.isdisjoint(words) or ("header" in words and not in_article) or any(w.startswith(_BEGINNINGS) and w != "commentary" for w in words):
                 return True
         elif name == "role" and value in _ROLES:
             return True
@@ -205,21 +208,17 @@ class _Tree:
         # subtrees that hang on the path
         beside = (i for i in range(1, n) if self.parent[i] in path and i not in path and self.parent[i] != best)
         found = {top[i] for i in beside if density[i] >= low and density[i] > 0} | {best}
-        whole = set()
-        for i in found:
-            at, up = i, i
-            while up > 0:
-                if self.tag[up] in _WHOLE:
-                    at = up
-                up = self.parent[up]
-            whole.add(at)
-        own = up = best
+        own = self._stands_for(best)
+        # an article or main element that holds the best node is the text by itself
+        return {own} if self.tag[own] in _WHOLE else {self._stands_for(i) for i in found}
+
+    def _stands_for(self, node: int) -> int:
+        """The outermost article around a node, else the outermost main, else itself."""
+        last, up = {}, node
         while up > 0:
-            if self.tag[up] in _WHOLE:
-                own = up
+            last[self.tag[up]] = up
             up = self.parent[up]
-        # an article or main element that holds the best node is the text by itself
-        return {own} if self.tag[own] in _WHOLE else whole
+        return last.get("article", last.get("main", node))
 
     def text(self) -> str:
         chosen = self.content()
@@ -267,4 +266,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
                 names=schema.names,
             )
 
-    return pages.select(*keep, html_col).mapInArrow(run, schema)
+    return pages.select(*keep, html_col).mapInArrow(lean(run), schema)

@@ -43,6 +43,8 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><
         ("<article><p>a > b, a < b & c</p></article>", "a > b, a < b & c"),
         ("<article><h1>Only a title</h1></article>", "Only a title"),
         ("<article></article>", ""),
+        ("<main><article><p>%s</p><ol class=commentlist><li>Nice!</li></ol><div id=sideBar>s</div></article></main>" % LONG, LONG.strip()),
+        ("<main><h2>Teasers</h2><article><p>%s</p></article></main>" % LONG, LONG.strip()),
     ],
 )
 def test_articles(body, want):
