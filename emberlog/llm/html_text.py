@@ -172,6 +172,7 @@ class _Tree:
             links[p] += links[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (self.tag[i] == "a")
+        self.chars, self.gone = chars, gone
         share = links[0] / max(chars[0], 1)
         density, total = [0.0] * n, [0.0] * n
         for i in range(n):
@@ -209,6 +210,13 @@ class _Tree:
         beside = (i for i in range(1, n) if self.parent[i] in path and i not in path and self.parent[i] != best)
         found = {top[i] for i in beside if density[i] >= low and density[i] > 0} | {best}
         own = self._stands_for(best)
+        if self.tag[own] != "article":  # an article below that holds most of the text
+            inside = [False] * n
+            for i in range(n):
+                inside[i] = i == own or (i > 0 and inside[self.parent[i]])
+            below = [i for i in range(n) if inside[i] and self.tag[i] == "article" and not self.gone[i]]
+            most = max(below, key=lambda i: (self.chars[i], -i), default=own)
+            own = most if 2 * self.chars[most] >= self.chars[own] else own
         # an article or main element that holds the best node is the text by itself
         return {own} if self.tag[own] in _WHOLE else {self._stands_for(i) for i in found}
 

@@ -100,5 +100,6 @@ def test_highest_quotients(spark):
             best = max(votes, key=lambda s: (votes[s] / (2 * won[s] + 1), [-ord(c) for c in s]))
             won[best] += 1
         df = spark.createDataFrame([(s, float(v), seats, 10**6) for s, v in votes.items()], "source string, v double, seats long, most long")
-        got = mixing.sainte_lague(df.selectExpr("*", "0 AS part"), ["part"], "v", "seats", "most", ["source"])
-        assert {x.source: x.quota for x in got.collect()} == won
+        for part in (None, "part"):
+            got = mixing.sainte_lague(df.selectExpr("*", "0 AS part"), part, "source", "v", "seats", "most")
+            assert {x.source: x.quota for x in got.collect()} == won

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.llm import _shared
+from emberlog.storage import fresh_dir
 
 
 @pytest.mark.parametrize("kind", ["path", "star", "random", "empty"])
@@ -64,6 +65,14 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError):
-        _shared.work_dir(Session())
+        fresh_dir(Session(), "x")
     Context.master = "local[4]"
-    assert _shared.work_dir(Session()).startswith("/tmp/")
+    assert fresh_dir(Session(), "x").startswith("/tmp/")
+
+
+def test_global_rank(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"), F.lit("x").alias("part")).repartition(9)
+    got = {r.v: r.rank for r in _shared.global_rank(df, [F.col("v").desc()], "rank").collect()}
+    want = {v: i + 1 for i, v in enumerate(sorted((x * 7919 % 1009 for x in range(1000)), reverse=True))}
+    assert got == want
+    assert _shared.global_rank(df.limit(0), [F.col("v")], "rank").count() == 0
