@@ -311,7 +311,7 @@ def retention_partitions(spark, sf_dir):
 @query(_LOGS + """SELECT id, 'services_logs_test' AS index_name, '{"date":' || (moment // 1000) || ',"K":' || to_json(k) || ',"Version":' || to_json(version) || ',"app":' || to_json(application)
   || ',"env_source":"TEST","inner_id":' || to_json(id) || ',"log_level":' || to_json(level) || ',"message":' || to_json(message) || ',"process":' || to_json(process) || '}' AS document FROM logs""")
 def elastic_documents(spark, sf_dir):
-    items = driver_tables.events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    items = driver_tables.events_as_items(driver_tables.read_events(spark, sf_dir))
     return results.index_documents(items, "test")
 
 
@@ -346,7 +346,7 @@ _INGESTED = "id, epoch_us(ts) AS moment, level, process, message, application, v
 
 @query(_LOGS + f"SELECT {_INGESTED} FROM logs")
 def seq_ingest(spark, sf_dir):
-    items = driver_tables.events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    items = driver_tables.events_as_items(driver_tables.read_events(spark, sf_dir))
     body = F.to_json(
         F.map_concat(
             F.create_map(
@@ -366,7 +366,7 @@ def seq_ingest(spark, sf_dir):
 
 @query(_LOGS + f"SELECT {_INGESTED} FROM logs")
 def v2_ingest(spark, sf_dir):
-    items = driver_tables.events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    items = driver_tables.events_as_items(driver_tables.read_events(spark, sf_dir))
     event = F.struct(iso(F.col("timestamp")).alias("time_stamp"), "level", "process", "message", F.map_concat("context", F.create_map(F.lit("Id"), F.col("id"))).alias("context"))
     bodies = items.select(F.to_json(F.array(event)).alias("body"))
     parsed = ingest.parse_v2(bodies)
@@ -379,7 +379,7 @@ def v2_ingest(spark, sf_dir):
 
 @query(_LOGS + f"SELECT {_INGESTED} FROM logs")
 def wire_ingest(spark, sf_dir):
-    items = driver_tables.events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    items = driver_tables.events_as_items(driver_tables.read_events(spark, sf_dir))
     entries = F.transform(F.map_entries("context"), lambda e: F.struct(e["key"].alias("Key"), e["value"].alias("Value")))
     code = F.create_map(*[F.lit(x) for kv in {"Info": 0, "Warning": 1, "Error": 2, "FatalError": 3, "Debug": 4}.items() for x in kv])[F.col("level")]
     # the first Id is overridden by the one that follows
@@ -397,7 +397,7 @@ def wire_ingest(spark, sf_dir):
 
 @query(_LOGS + "SELECT id, process, application, version, k FROM logs")
 def process_folding(spark, sf_dir):
-    items = driver_tables.events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    items = driver_tables.events_as_items(driver_tables.read_events(spark, sf_dir))
     stale = F.map_concat("context", F.create_map(F.lit("Process"), F.lit("stale")))
     ctx = F.col("context")
     return items.withColumn("context", fold_process(F.col("process"), stale)).select(

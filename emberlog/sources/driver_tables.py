@@ -10,6 +10,14 @@ from ..schema import log_rows
 EVENT_LEVELS = {"click": "Info", "view": "Debug", "purchase": "Warning", "error": "Error", "signup": "FatalError"}
 
 
+#: ``ts`` is stored without a zone and read as UTC; read so, conditions on it reach the scan.
+EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
 def events_as_items(events: DataFrame) -> DataFrame:
     """id, timestamp, level, process, message, context of each event."""
     user = F.col("user_id")
@@ -29,7 +37,7 @@ def events_as_items(events: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_rows(events_as_items(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return log_rows(events_as_items(read_events(spark, sf_dir)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

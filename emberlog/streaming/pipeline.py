@@ -8,7 +8,7 @@ from ..operators.insights import distinct_values
 from ..operators.rollups import hourly, merge_hourly, minute_counts
 from ..operators.rules import IgnoreRule, filter_ignored
 from ..operators.suppression import SingleEventRule
-from ..sources.driver_tables import events_as_items
+from ..sources.driver_tables import EVENTS_SCHEMA, events_as_items
 from ..schema import log_rows
 from ..storage import fresh_dir
 from .suppress import suppression_verdicts, use_rocksdb
@@ -18,8 +18,7 @@ FLUSH_INTERVAL = "500 milliseconds"
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's events as a stream of log rows."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return log_rows(events_as_items(raw))
 
 

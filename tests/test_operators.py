@@ -253,6 +253,13 @@ def test_stored_table_is_pruned(spark, sf_dir, tmp_path):
     assert ids(found) == ids(want)
 
 
+def test_conditions_reach_the_scan_of_events(spark, sf_dir):
+    from emberlog.catalogue import QUERIES
+
+    p = plan(QUERIES["search_combined"](spark, sf_dir))
+    assert "GreaterThanOrEqual(ts" in p and "LessThanOrEqual(ts" in p and "value:double" not in p and "TakeOrderedAndProject" in p
+
+
 def test_expired_partitions_are_deleted(spark, sf_dir, tmp_path):
     now, r = datetime(2024, 1, 5, 12, 30, tzinfo=UTC), retention.Retention(high_hours=24)
     rows = driver_tables.events(spark, sf_dir).where("hour_key BETWEEN 2024010400 AND 2024010523")
