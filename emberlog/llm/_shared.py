@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..storage import fresh_dir
 
 #: White space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL_FALLBACK = "/tmp/emberlog-checkpoints"
+def release_memory() -> None:
+    """Hands memory that is free back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, with memory handed back when its task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,28 +46,13 @@ def packed(docs: DataFrame, **named: str | Column) -> DataFrame:
     return docs.select(row, *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in named.items()])
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediates: ``spark.checkpoint.dir``.
-
-    Only a local session (one machine, as in tests) may leave it unset.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if shared:
-        return shared.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_FALLBACK
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage; a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/emberlog-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,6 +94,25 @@ def in_bitmap(df: DataFrame, col: str, bitmap: DataFrame, bits: int, negate: boo
     )
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, the rank from 1 on in the given order over all rows.
+
+    Rows are dealt to ranges and ranked there; only the ranges' sizes reach the
+    driver.  The order must tell all rows apart.
+    """
+    inside = Window.partitionBy("__part").orderBy(*order)
+    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranked = materialize(materialize(placed).withColumn(name, F.row_number().over(inside)))
+    before, rows = 0, []
+    for part, n in sorted(map(tuple, ranked.groupBy("__part").count().collect())):
+        rows.append((part, before))
+        before += n
+    if not rows:
+        return ranked.drop("__part")
+    offsets = df.sparkSession.createDataFrame(rows, "__part int, __before long")
+    return ranked.join(F.broadcast(offsets), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
 #: A key counts as heavy when it has over 1 / HEAVY_KEYS of all rows, so there
 #: are fewer heavy keys than this.
 HEAVY_KEYS = 256
@@ -190,11 +213,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             keep = least < node
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=["a", "b"])
 
-    e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").mapInArrow(first, "a bigint, b bigint")
+    e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").mapInArrow(lean(first), "a bigint, b bigint")
     seen = None
     for _ in range(max_rounds):
         sent = e.withColumn("to", F.explode(F.array("a", "b"))).repartition("to")
-        e = materialize(sent.mapInArrow(stars, "a bigint, b bigint"))
+        e = materialize(sent.mapInArrow(lean(stars), "a bigint, b bigint"))
         sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
         if sign == seen or sign[0] == 0:
             break

@@ -14,12 +14,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
+from ._shared import lean
+
 #: Characters from which on a text is cut.
 CHUNK_CHARS = 50_000
+_PART_TOKENS = 1 << 19
 _SAFE = re.compile(r"\S(?=[ \n])")
 
 
@@ -87,13 +91,21 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in batches:
-            ids = [c.encode(t or "") for t in b.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(k) for k in keep], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())],
-                names=[*keep, ids_col, count_col],
-            )
-
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+            at = 0
+            while at < b.num_rows:  # parts of about _PART_TOKENS tokens bound what the worker holds
+                parts, ends, held = [], [0], 0
+                while at + len(parts) < b.num_rows and held < _PART_TOKENS:
+                    parts.append(np.array(c.encode(b.column(text_col)[at + len(parts)].as_py() or ""), np.int32))
+                    held += len(parts[-1])
+                    ends.append(held)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+                rows = b.slice(at, len(parts))
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows.column(k) for k in keep], ids, pa.array(np.diff(ends), pa.int64())], names=[*keep, ids_col, count_col]
+                )
+                at += len(parts)
+
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -107,7 +119,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "to
             out = [c.decode(x or []) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(out, pa.binary())], names=[*keep, bytes_col])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,4 +151,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 names=schema.names,
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)

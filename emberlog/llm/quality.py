@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import id_bitmap, in_bitmap, join_few, materialize, without_rows
+from ._shared import id_bitmap, in_bitmap, join_few, lean, materialize, without_rows
 
 ORDER = 3
 ALPHABET = 64
@@ -32,7 +33,7 @@ PRIOR_SYMBOLS = 150
 SHARDS = 8
 #: Documents whose n-grams meet one copy of a model shard.
 SALT_DOCS = 32_768
-_CHUNK_CHARS = 1 << 21
+_CHUNK_CHARS = 1 << 20
 _CHUNK_DOCS = 2048
 _MICRO = 1e6
 
@@ -74,7 +75,7 @@ def ngram_codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     chars, a = 0, 0
-    sizes = [len(x) if x else 0 for x in b.column("text").to_pylist()]
+    sizes = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
     for i, n in enumerate(sizes):
         if i > a and (chars + n > _CHUNK_CHARS or i - a >= _CHUNK_DOCS):
             yield a, i
@@ -109,22 +110,22 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n)], names=["lang", "code", "c"])
 
         for b in batches:
-            texts_ = b.column("text").to_pylist()
             for a, e in _chunks(b):
+                part = b.column("text").slice(a, e - a).to_pylist()
                 for lang, at in _by_lang(b, a, e):
-                    code, _ = ngram_codes([texts_[i] or "" for i in at], order)
+                    code, _ = ngram_codes([part[i - a] or "" for i in at], order)
                     u, n = np.unique(code, return_counts=True)
                     parts = held.setdefault(lang, [])
                     parts.append((u, n))
                     rows += len(u)
                     if len(parts) > 16:
                         held[lang] = [merged(parts)]
-                if rows > 1 << 24:
+                if rows > 1 << 22:
                     yield from out()
                     held, rows = {}, 0
         yield from out()
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, code bigint, c bigint").groupBy("lang", "code").agg(F.sum("c").alias("c"))
+    return texts.select("lang", "text").mapInArrow(lean(run), "lang string, code bigint, c bigint").groupBy("lang", "code").agg(F.sum("c").alias("c"))
 
 
 class KneserNey:
@@ -193,12 +194,12 @@ def _packed_documents(docs: DataFrame, order: int, shards: int, salts: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            texts = b.column("text").to_pylist()
             keys = np.stack([b.column("row").to_numpy(), b.column("th").to_numpy()], axis=1)
             for a, e in _chunks(b):
                 rows = []
+                part = b.column("text").slice(a, e - a).to_pylist()
                 for lang, at in _by_lang(b, a, e):
-                    code, doc = ngram_codes([texts[i] or "" for i in at], order)
+                    code, doc = ngram_codes([part[i - a] or "" for i in at], order)
                     if not len(code):
                         continue
                     packed = np.sort((code % shards).astype(np.uint64) << np.uint64(58) | code.astype(np.uint64) << np.uint64(12) | doc.astype(np.uint64))
@@ -222,7 +223,7 @@ def _packed_documents(docs: DataFrame, order: int, shards: int, salts: int) -> D
                         names=["lang", "shard", "salt", "kind", "data", "keys"],
                     )
 
-    return docs.mapInArrow(run, _WIRE)
+    return docs.mapInArrow(lean(run), _WIRE)
 
 
 def _partial_sums(rows: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def _partial_sums(rows: DataFrame) -> DataFrame:
                     names=["row", "th", "nll", "n"],
                 )
 
-    return rows.mapInArrow(run, "row bigint, th bigint, nll bigint, n bigint")
+    return rows.mapInArrow(lean(run), "row bigint, th bigint, nll bigint, n bigint")
 
 
 def perplexities(docs: DataFrame, model: KneserNey, shards: int = SHARDS) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._shared import lean
 from .bpe import codec
 
 RULES = ("start", "most")
@@ -96,7 +97,7 @@ def section_token_counts(
                     names=schema.names,
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def field_token_counts(
