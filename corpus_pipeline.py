@@ -7,28 +7,18 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import bpe, exact_dedup, jaccard, mixing, quality
-from emberlog.llm._shared import table, work_dir
+from emberlog.llm._shared import table, without_rows
+from emberlog.storage import fresh_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def _same_row(left: DataFrame, right: DataFrame):
-    return left.doc_id.eqNullSafe(right.k_id) & (left.k_th == right.k_th_r)
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id and text hash are in ``kept`` (k_id, k_th_r), columns unchanged."""
-    keyed = docs.withColumn("k_th", F.xxhash64("text"))
-    return keyed.join(kept, _same_row(keyed, kept), "left_semi").select(*docs.columns)
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; the rejected ones go."""
     return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
@@ -46,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words are near copies of nothing and stay.
     """
     found = jaccard.jaccard_components(docs, words=5, num=8, den=10)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
-    return _only(docs, kept.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th_r")))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull())
+    return without_rows(docs, gone.select(F.col("doc_id").alias("id"), "th"), "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{work_dir(spark)}/emberlog-pipeline-{uuid.uuid4().hex}"
+    folder = fresh_dir(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
