@@ -10,9 +10,11 @@ quota is a number of full passes plus the first blocks of that order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import WORD, materialize
+from ._shared import WORD, global_rank, materialize, packed
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -46,41 +48,49 @@ def fill_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     return s.withColumn("target", F.least("__cap", F.col("weight") * F.lit(rate))).drop("__cap")
 
 
-def sainte_lague(df: DataFrame, by: list[str], votes: str, seats: str, limit: str, tie: list[str]) -> DataFrame:
-    """Adds ``quota``: ``seats`` dealt within ``by`` by highest votes / (2k + 1).
+def _same(a: list[str], b: list[str]) -> Column:
+    tests = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)]
+    return reduce(Column.__and__, tests)
+
+
+def sainte_lague(df: DataFrame, by: str | None, key: str, votes: str, seats: str, limit: str) -> DataFrame:
+    """Adds ``quota``: ``seats`` dealt by the highest quotients votes / (2k + 1).
 
-    Seat numbers up to the floor of the exact share less one are given at once
-    (that many quotients beat the last one dealt), the few that remain go one
-    by one to the highest quotients.  No row gets more than ``limit``.
+    One row per ``key``, within each group of ``by`` (None: all rows are one
+    group).  The floor of the exact share less one is given at once, that many
+    quotients beat the last one dealt; the few seats that remain go to the
+    highest quotients one by one, then by key.  No row gets more than
+    ``limit``.
     """
-    total = Window.partitionBy(*by)
-    share = df.withColumn("__sum", F.sum(votes).over(total)).withColumn(
-        "__exact", F.when(F.col("__sum") > 0, F.col(votes) / F.col("__sum") * F.col(seats)).otherwise(0.0)
+    if by:
+        sums = df.groupBy(F.col(by).alias("__by")).agg(F.sum(votes).alias("__sum"))
+        share = df.join(sums, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    else:
+        share = df.withColumn("__sum", F.lit(float(df.agg(F.sum(votes)).first()[0] or 0)))
+    exact = F.when(F.col("__sum") > 0, F.col(votes) / F.col("__sum") * F.col(seats)).otherwise(0.0)
+    base = materialize(
+        share.withColumn("__base", F.least(F.col(limit), F.greatest(F.lit(0), F.floor(exact) - 1)).cast("long")).drop("__sum")
     )
-    base = share.withColumn(
-        "__base", F.least(F.col(limit), F.greatest(F.lit(0), F.floor("__exact") - 1)).cast("long")
-    ).withColumn("__left", F.col(seats) - F.sum("__base").over(total))
-    rank = Window.partitionBy(*by).orderBy(F.col("__q").desc(), *[F.col(c).asc_nulls_last() for c in tie], "__k")
-    more = (
+    next_ = (
         base.where(F.col(votes) > 0)
         .withColumn("__k", F.explode(F.expr(f"sequence(__base, least({limit}, __base + 4))")))
         .where(F.col("__k") < F.col(limit))
         .withColumn("__q", F.col(votes) / (2 * F.col("__k") + 1))
-        .withColumn("__r", F.row_number().over(rank))
-        .where("__r <= __left")
-        .groupBy(*by, *tie)
-        .agg(F.count("*").alias("__more"))
     )
-    keys = list(dict.fromkeys([*by, *tie]))
-    on = None
-    right = more.select(*[F.col(c).alias(f"__{c}_r") for c in keys], "__more")
-    for c in keys:
-        test = F.col(c).eqNullSafe(F.col(f"__{c}_r"))
-        on = test if on is None else on & test
+    order = [F.col("__q").desc(), F.col(key).asc_nulls_last(), F.col("__k")]
+    if by:
+        left = base.groupBy(F.col(by).alias("__by")).agg((F.first(seats) - F.sum("__base")).alias("__left"))
+        ranked = next_.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+        won = ranked.join(left, F.col(by).eqNullSafe(F.col("__by"))).where("__r <= __left")
+    else:
+        given, all_ = base.agg(F.sum("__base"), F.first(seats)).first()
+        won = global_rank(next_, order, "__r").where(F.col("__r") <= F.lit((all_ or 0) - (given or 0)))
+    keys = [by, key] if by else [key]
+    more = won.groupBy(*[F.col(c).alias(f"__{c}_r") for c in keys]).agg(F.count("*").alias("__more"))
     return (
-        base.join(right, on, "left")
+        base.join(more, _same(keys, [f"__{c}_r" for c in keys]), "left")
         .withColumn("quota", F.col("__base") + F.coalesce("__more", F.lit(0)))
-        .drop("__sum", "__exact", "__base", "__left", "__more", *[f"__{c}_r" for c in keys])
+        .drop("__base", "__more", *[f"__{c}_r" for c in keys])
     )
 
 
@@ -113,19 +123,16 @@ def mix(
         )
     )
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    ranked = per_source.withColumn("__i", F.row_number().over(order) - 1).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__i") % len(weights) + 1).cast("int"))
+    # bytes of UTF-8 stand in the order of code points
+    ranked = global_rank(per_source, [F.col("source").cast("binary").asc_nulls_last()], "__i").withColumn(
+        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("__i") - 1) % len(weights) + 1).cast("int"))
     )
     targets = materialize(fill_targets(materialize(ranked.drop("__i")), max_repeats))
     # source quotas in blocks; the whole mix is one body of seats
     seats = targets.agg(F.sum("target")).first()[0] or 0.0
     cap = F.ceil(F.col("source_size") * max_repeats / block_words)
     dealt = sainte_lague(
-        targets.withColumns(
-            {"__all": F.lit(0), "__seats": F.lit(int(round(seats / block_words))), "__limit": cap}
-        ),
-        ["__all"], "target", "__seats", "__limit", ["source"],
+        targets.withColumns({"__seats": F.lit(int(round(seats / block_words))), "__limit": cap}), None, "source", "target", "__seats", "__limit"
     ).select("source", "source_size", "target", "n_docs", F.col("quota").alias("blocks"))
     n_shards = F.ceil(F.col("n_docs") / shard_docs)
     placed = (
@@ -139,7 +146,7 @@ def mix(
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = sainte_lague(
         shards.withColumn("__limit", F.ceil(F.col("shard_size") * max_repeats / block_words)),
-        ["source"], "shard_size", "blocks", "__limit", ["shard"],
+        "source", "shard", "shard_size", "blocks", "__limit",
     ).select(
         F.col("source").alias("__s"), F.col("shard").alias("__h"), "shard_size",
         F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeats).alias("__take"),
@@ -166,7 +173,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words taken become whole documents by rounding (half or more of a document
     is one copy); documents not taken go.  Columns are unchanged.
     """
-    own = list(docs.columns)
     takes = mix(docs, id_col=id_col, text_col=text_col, seed=seed, **kwargs)
     copies = (
         takes.where("taken > 0")
@@ -174,11 +180,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.sum(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__copies"), F.count("*").alias("__same"))
         .where("__copies > 0")
     )
-    hashed = docs.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    rows = packed(docs, __own=id_col, __h=F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     return (
-        hashed.join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
+        rows.join(copies, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
         .withColumn("__n", F.round(F.col("__copies") / F.col("__same")).cast("int"))
         .where("__n > 0")
         .withColumn("__k", F.explode(F.expr("sequence(1, __n)")))
-        .select(*own)
+        .select("__row.*")
     )
