@@ -178,6 +178,30 @@ def least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nd
         root = new
 
 
+#: Edges that a node may have in one task before it is spread over several.
+HUB_EDGES = 1000
+_HUB_PARTS = 64
+
+
+def _spread(e: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) with ``node`` and ``part``: a row for each end.
+
+    A hub, a node b with over 1 / HEAVY_KEYS of all edges, has many parts: its
+    neighbours are dealt to them, its own edges go to all.  So there are fewer
+    hubs than HEAVY_KEYS, and none gathers in one task.
+    """
+    limit = max(HUB_EDGES, total // HEAVY_KEYS)
+    hubs = [r[0] for r in e.groupBy("b").count().where(F.col("count") > limit).select("b").collect()] if total > limit else []
+    part = lambda node, i: F.struct(node.alias("node"), i.cast("int").alias("part"))
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0)
+    to_a, at_b = F.array(part(a, zero)), zero
+    if hubs:
+        known = F.array(*[F.lit(h).cast("bigint") for h in hubs])
+        to_a = F.when(F.array_contains(known, a), F.transform(F.sequence(zero, F.lit(_HUB_PARTS - 1)), lambda i: part(a, i))).otherwise(to_a)
+        at_b = F.when(F.array_contains(known, b), F.pmod(F.xxhash64(a), F.lit(_HUB_PARTS))).otherwise(zero)
+    return e.select("a", "b", F.explode(F.concat(to_a, F.array(part(b, at_b)))).alias("to")).select("a", "b", "to.node", "to.part")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the graph of ``edges(a, b)`` with long ids.
 
@@ -185,24 +209,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     partition replaces the edges it holds by stars, every node joined to the
     smallest node of its component there.  Smaller ids spread and paths halve
     until nothing changes.  One shuffle a round; nothing is collected but a
-    count and a checksum.  Returns (id, component) for every node of an edge
-    between two different ids, the component being its smallest id.
+    count, a checksum and the few hubs.  Returns (id, component) for every
+    node of an edge between two different ids, the component being its
+    smallest id.
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(b.column(c).to_numpy() for c in ("to", "a", "b")) for b in batches]
+        held = [tuple(b.column(c).to_numpy() for c in ("node", "part", "a", "b")) for b in batches]
         if not held:
             return
-        to, a, b = (np.concatenate(x) for x in zip(*held))
+        to, part, a, b = (np.concatenate(x) for x in zip(*held))
         node, least = least_of_components(a, b)
-        # the partition that a node belongs to has all its edges and tells its
+        # the partition that a node belongs to has its own edges and tells its
         # label; others tell only what that partition cannot know
         known = node.copy()
         at_a, at_b = np.searchsorted(node, a), np.searchsorted(node, b)
         np.minimum.at(known, at_a, b)
         np.minimum.at(known, at_b, a)
         own = np.zeros(len(node), bool)
-        own[np.searchsorted(node, to)] = True
+        own[np.searchsorted(node, to[part == 0])] = True
         keep = np.where(own, least < node, least < known)
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=["a", "b"])
 
@@ -213,15 +238,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             keep = least < node
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=["a", "b"])
 
-    e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").mapInArrow(lean(first), "a bigint, b bigint")
-    seen = None
+    def sign_of(df: DataFrame):
+        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
+
+    own = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b")
+    e = materialize(own.mapInArrow(lean(first), "a bigint, b bigint"))
+    sign = sign_of(e)
     for _ in range(max_rounds):
-        sent = e.withColumn("to", F.explode(F.array("a", "b"))).repartition("to")
+        sent = _spread(e, sign[0]).repartition("node", "part")
         e = materialize(sent.mapInArrow(lean(stars), "a bigint, b bigint"))
-        sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
-        if sign == seen or sign[0] == 0:
+        before, sign = sign, sign_of(e)
+        if sign == before or sign[0] == 0:
             break
-        seen = sign
     else:
         raise RuntimeError("connected components did not converge")
     both = e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")))

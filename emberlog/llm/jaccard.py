@@ -2,12 +2,12 @@
 
 Documents are sets of hashed word shingles; two link when their Jaccard
 similarity reaches a threshold.  The hashed shingles fall into groups.  The
-counts of a document's shingles in 32 groups are a point; the overlap of two
+counts of a document's shingles in the groups are a point; the overlap of two
 documents is at most the sum of the coordinate minima of their points.  Points
 are packed into an R-tree, whose nodes bound the overlap with all points below
 them, and pairs that survive the bound are verified on the sets themselves.
 
-One R-tree over a corpus would prune little (in 32 dimensions the boxes of
+One R-tree over a corpus would prune little (in many dimensions the boxes of
 random texts all overlap) and could not be spread over machines, so points are
 first parted exactly.  A pair that links differs in at most D shingles, D
 following from its sizes.  Shingles are dealt by hash into more than D
@@ -35,19 +35,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import connected_components, id_bitmap, in_bitmap, join_heavy, least_of_components, materialize
+from ._shared import connected_components, id_bitmap, in_bitmap, join_heavy, lean, least_of_components, materialize
 
-GROUPS = 32
+#: Groups of the points; the tree's nodes hold them folded to COARSE sums.
+GROUPS = 256
+COARSE = 32
 LEAF = 32
 FAN_OUT = 16
 #: Points, and shingles of sets, that one chunk of a cluster holds.
 POINT_CHUNK = 16_384
 SET_CHUNK = 1 << 21
 PIVOTS = 4
-_PIECE = 1 << 22
-_FLUSH_PAIRS = 1 << 21
+_PIECE = 1 << 20
+_FLUSH_PAIRS = 1 << 20
 _U = np.uint64
 _RATIO = 1.3
 
@@ -186,6 +189,15 @@ def count_vectors(sets: Sets) -> np.ndarray:
     return np.bincount(at, minlength=len(sets.sizes) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
+def _packed_points(points: np.ndarray) -> list[bytes]:
+    """Two bytes a count, four for the rare document that needs them."""
+    return [(p.astype(np.uint16) if m < 1 << 16 else p).tobytes() for p, m in zip(points, points.max(axis=1, initial=0))]
+
+
+def _unpacked_points(rows: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.uint16 if len(r) == 2 * GROUPS else np.int32).astype(np.int32) for r in rows])
+
+
 # ---------------------------------------------------------------- segments
 
 
@@ -259,7 +271,7 @@ def segment_keys(sets: Sets, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
         filled = np.bincount(d, minlength=len(sets.sizes))
         for i in np.flatnonzero(use & (g - filled > spare[np.maximum(level, 0)])):
             gone = np.setdiff1d(np.arange(g[i]), s[d == i]).astype(np.uint64)
-            keys.append(_mix(_mix(_U(level[i]) * _STEP[4] + gone * _STEP[5])))
+            keys.append(_mix(_mix(level[i : i + 1].astype(np.uint64) * _STEP[4] + gone * _STEP[5])))
             docs.append(np.full(len(gone), i))
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -285,8 +297,9 @@ def _equal_runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nda
 class CountTree:
     """R-tree of points, packed by size and then by the widest coordinates."""
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray, t: Threshold):
+    def __init__(self, sizes: np.ndarray, fine: np.ndarray, t: Threshold):
         self.t, n = t, len(sizes)
+        points = fine.reshape(n, -1, COARSE).sum(axis=1)
         order = np.argsort(sizes, kind="stable")
         slab = LEAF * max(1, int(np.sqrt(n / LEAF)))
         if n > slab:  # sort-tile-recursive: slabs of like size, then by the widest coordinate
@@ -294,7 +307,7 @@ class CountTree:
                 part = order[a : a + slab]
                 wide = int(np.argmax(np.ptp(points[part], axis=0)))
                 order[a : a + slab] = part[np.argsort(points[part, wide], kind="stable")]
-        self.order, self.sizes, self.points = order, sizes[order], points[order]
+        self.order, self.sizes, self.points, self.fine = order, sizes[order], points[order], fine[order]
         self.levels = []
         lo, hi, top, width = self.sizes, self.sizes, self.points, LEAF
         while len(lo) > 1 or not self.levels:
@@ -308,8 +321,9 @@ class CountTree:
         bound = np.minimum(top, point).sum(axis=1, dtype=np.int64)
         return ((t.den + t.num) * bound >= t.num * (size + lo)) & (hi * t.den >= size * t.num) & (lo * t.num <= size * t.den)
 
-    def search(self, size: int, point: np.ndarray) -> np.ndarray:
-        """Positions (in tree order) of the points that may link with this one."""
+    def search(self, i: int) -> np.ndarray:
+        """Positions (in tree order) of the points that may link with point ``i``."""
+        size, point = int(self.sizes[i]), self.points[i]
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             lo, hi, top = self.levels[depth]
@@ -318,7 +332,8 @@ class CountTree:
             below = len(self.levels[depth - 1][0]) if depth else len(self.sizes)
             at = (at[:, None] * width + np.arange(width)).ravel()
             at = at[at < below]
-        return at[self._may_link(size, point, self.sizes[at], self.sizes[at], self.points[at])]
+        at = at[self._may_link(size, point, self.sizes[at], self.sizes[at], self.points[at])]
+        return at[self._may_link(size, self.fine[i], self.sizes[at], self.sizes[at], self.fine[at])]
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -327,27 +342,31 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((c[1:] == c[:-1]).sum())
 
 
-def link_group(sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None, asks: np.ndarray, part: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+def link_group(
+    sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None, asks: np.ndarray, part: np.ndarray, side: np.ndarray, t: Threshold
+) -> list[tuple[int, int]]:
     """A spanning forest of the links between the members of one chunk.
 
     ``asks``: members whose partners are sought; ``part``: what is known to be
-    connected has equal numbers.  Without ``sets`` every pair that the bound
+    connected has equal numbers; ``side``: members of one side, other than -1,
+    have been compared before.  Without ``sets`` every pair that the bound
     leaves counts as a link.
     """
     n = len(sizes)
     tree = CountTree(sizes, points, t)
     root = np.unique(part[tree.order], return_inverse=True)[1].astype(np.int64)
+    side = side[tree.order]
     left = len(np.unique(root))
     edges: list[tuple[int, int]] = []
     for i in np.flatnonzero(asks[tree.order]):
         if left == 1:
             break
-        near = tree.search(int(tree.sizes[i]), tree.points[i])
-        near = near[root[near] != root[i]]
+        near = tree.search(i)
+        near = near[(root[near] != root[i]) & ((side[near] != side[i]) | (side[i] < 0))]
         if not len(near):
             continue
         if sets is not None and len(near) > 1:
-            bound = np.minimum(tree.points[near], tree.points[i]).sum(axis=1)
+            bound = np.minimum(tree.fine[near], tree.fine[i]).sum(axis=1)
             near = near[np.argsort(-bound, kind="stable")]
         for j in near:
             if root[j] == root[i]:
@@ -399,18 +418,18 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
         for b in batches:
-            texts = b.column("text").to_pylist()
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
             a = 0
-            while a < len(texts):
+            while a < b.num_rows:
                 e, size = a, 0
-                while e < len(texts) and (e == a or size < _PIECE):
-                    size += len(texts[e] or "")
+                while e < b.num_rows and (e == a or size + sizes[e] <= _PIECE):
+                    size += sizes[e]
                     e += 1
-                sets = shingle_sets([x or "" for x in texts[a:e]], words)
+                sets = shingle_sets([x or "" for x in b.column("text").slice(a, e - a).to_pylist()], words)
                 d1, d2 = digests(sets)
                 points = count_vectors(sets)
                 node = d1.view(np.uint64) & mask
-                cols = {"bucket": (node % _U(buckets)).astype(np.int32).tolist(), "n": sets.sizes.tolist(), "d1": d1.tolist(), "d2": d2.tolist(), "point": [p.tobytes() for p in points]}
+                cols = {"bucket": (node % _U(buckets)).astype(np.int32).tolist(), "n": sets.sizes.tolist(), "d1": d1.tolist(), "d2": d2.tolist(), "point": _packed_points(points)}
                 cols |= {"id": b.column("id").slice(a, e - a).to_pylist(), "th": b.column("th").slice(a, e - a).to_pylist()}
                 yield batch(cols, e - a)
                 k, d = segment_keys(sets, t)
@@ -461,15 +480,15 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
         yield from edges_of(bucket)
 
     return (
-        docs.mapInArrow(scan, map_schema)
+        docs.mapInArrow(lean(scan), map_schema)
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(meet, out_schema)
+        .mapInArrow(lean(meet), out_schema)
     )
 
 
 def _chunked_components(members: DataFrame, chunk: int, t: Threshold, with_sets: bool) -> DataFrame:
-    """(id, component) of ``members`` (cluster, cid, n, point[, hashes]) that link.
+    """(id, component) of ``members`` (cluster, cid, n, point or hashes) that link.
 
     Links are sought within clusters.  ``chunk`` bounds what one task holds of
     a cluster: members, or shingles where sets are compared.
@@ -481,9 +500,13 @@ def _chunked_components(members: DataFrame, chunk: int, t: Threshold, with_sets:
             cid = tb["cid"].to_numpy()
             _, keep = np.unique(cid, return_index=True)  # a pivot is in its own chunk already
             pick = lambda c: tb[c].to_numpy()[keep]
-            points = np.frombuffer(b"".join(tb["point"].take(keep).to_pylist()), np.int32).reshape(-1, GROUPS)
-            sets = [np.frombuffer(x, np.uint64) for x in tb["hashes"].take(keep).to_pylist()] if with_sets else None
-            e = link_group(pick("n"), points, sets, pick("asks").astype(bool), pick("part"), t)
+            if with_sets:
+                sets = [np.frombuffer(x, np.uint64) for x in tb["hashes"].take(keep).to_pylist()]
+                sizes = np.array([len(x) for x in sets])
+                points = count_vectors(Sets(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes))
+            else:
+                sets, points = None, _unpacked_points(tb["point"].take(keep).to_pylist())
+            e = link_group(pick("n"), points, sets, pick("asks").astype(bool), pick("part"), pick("side"), t)
             ends = cid[keep[np.array(e, np.int64).reshape(-1, 2)]]
             node, least = least_of_components(ends[:, 0], ends[:, 1])
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["a", "b"])
@@ -506,33 +529,37 @@ def _chunked_components(members: DataFrame, chunk: int, t: Threshold, with_sets:
             yield solve(rows)
 
     def solved(df: DataFrame) -> DataFrame:
-        return df.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(kernel, "a bigint, b bigint")
+        return df.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(lean(kernel), "a bigint, b bigint")
 
-    cols = ["cluster", "cid", "n", "point", *(["hashes"] if with_sets else [])]
+    cols = ["cluster", "cid", "n", "hashes" if with_sets else "point"]
     weight = F.sum("n") if with_sets else F.count("*")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.ceil(weight / chunk).cast("int").alias("chunks"))
     sized = members.join(sizes, "cluster")
     own = F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks").cast("bigint")).cast("int")
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("cid", F.lit(6)), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0)
     first = sized.withColumn("chunk", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))).select(
-        *cols, "chunk", F.lit(True).alias("asks"), F.col("cid").alias("part")
+        *cols, F.col("chunk").cast("bigint").alias("chunk"), F.lit(True).alias("asks"), F.col("cid").alias("part"), F.lit(-1).alias("side")
     )
     edges = materialize(solved(first))
     if sizes.where("chunks > 1").isEmpty():
         # every cluster was in one chunk: its stars are its components
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = materialize(sized.where("chunks > 1").select(*cols, "chunks", own.alias("chunk")))
-    # what the chunks of a cluster leave apart meets all chunks
+    # what the chunks of a cluster leave apart: all but its largest part meets all
+    # other chunks, two chunks in a task
     parts = connected_components(edges)
     parted = materialize(
         large.join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
     )
     per = parted.groupBy("cluster", "part").agg(F.count("*").alias("k"))
     main = per.groupBy("cluster").agg(F.max(F.struct("k", "part")).alias("m"), F.count("*").alias("parts")).select("cluster", F.col("m.part").alias("main"), "parts")
-    open_ = parted.join(main, "cluster").where("parts > 1")
-    stray = F.col("part") != F.col("main")
-    second = open_.withColumn("asks", stray).withColumn("chunk", F.explode(F.when(stray, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
-    return connected_components(edges.union(solved(second.select(*cols, "chunk", "asks", "part"))))
+    open_ = materialize(parted.join(main, "cluster").where("parts > 1").withColumn("asks", F.col("part") != F.col("main")))
+    asking = open_.where("asks").groupBy("cluster").agg(F.collect_set("chunk").alias("asking"))
+    others = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.col("asking"))
+    pair = F.least("chunk", "other").cast("bigint") * F.col("chunks") + F.greatest("chunk", "other")
+    second = open_.join(asking, "cluster").withColumn("other", F.explode(others)).where("other <> chunk")
+    met = solved(second.select(*cols, pair.alias("chunk"), "asks", "part", F.col("chunk").alias("side")))
+    return connected_components(edges.union(met))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -583,11 +610,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ends = sets.ends
                 hashes = [sets.hashes[e - n : e].tobytes() for e, n in zip(ends, sets.sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cluster"), part.column("cid"), pa.array(sets.sizes, pa.int64()), pa.array([p.tobytes() for p in count_vectors(sets)], pa.binary()), pa.array(hashes, pa.binary())],
-                    names=["cluster", "cid", "n", "point", "hashes"],
+                    [part.column("cluster"), part.column("cid"), pa.array(sets.sizes, pa.int64()), pa.array(hashes, pa.binary())],
+                    names=["cluster", "cid", "n", "hashes"],
                 )
 
-    sets = materialize(texts.mapInArrow(reshingle, "cluster bigint, cid bigint, n bigint, point binary, hashes binary"))
+    sets = materialize(texts.mapInArrow(lean(reshingle), "cluster bigint, cid bigint, n bigint, hashes binary"))
     links = _chunked_components(sets, SET_CHUNK, t, True)
     named = classes.select("d1", "d2", "rep", "copies", cid.alias("cid")).join(links.select(F.col("id").alias("cid"), "component"), "cid", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))

@@ -111,6 +111,11 @@ def test_segments_meet_for_every_link():
                     assert len(np.intersect1d(keys[docs == 0], keys[docs == 1]))
 
 
+def test_packed_points():
+    points = np.array([[1] * jaccard.GROUPS, [70_000] + [0] * (jaccard.GROUPS - 1)], np.int32)
+    assert np.array_equal(jaccard._unpacked_points(jaccard._packed_points(points)), points)
+
+
 def test_tree_finds_every_point_within_the_bound():
     r = np.random.default_rng(1)
     points = r.poisson(3, (500, jaccard.GROUPS)).astype(np.int32)
@@ -119,7 +124,7 @@ def test_tree_finds_every_point_within_the_bound():
     t = jaccard.Threshold(8, 10)
     tree = jaccard.CountTree(sizes, points, t)
     for i in range(0, 500, 7):
-        got = set(tree.order[tree.search(int(sizes[i]), points[i])])
+        got = set(tree.order[tree.search(int(np.flatnonzero(tree.order == i)[0]))])
         bound = np.minimum(points, points[i]).sum(axis=1)
         want = set(np.flatnonzero((18 * bound >= 8 * (sizes + sizes[i])) & (sizes * 10 >= sizes[i] * 8) & (sizes * 8 <= sizes[i] * 10)))
         assert got == want

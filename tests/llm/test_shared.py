@@ -7,8 +7,11 @@ from emberlog.llm import _shared
 from emberlog.storage import fresh_dir
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
 @pytest.mark.parametrize("kind", ["path", "star", "random", "empty"])
-def test_components(spark, kind):
+def test_components(spark, kind, hub, monkeypatch):
+    monkeypatch.setattr(_shared, "HUB_EDGES", hub)
+    monkeypatch.setattr(_shared, "HEAVY_KEYS", 10_000)
     r = random.Random(1)
     edges = {
         "path": [(i, i + 1) for i in range(300)],
