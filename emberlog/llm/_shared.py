@@ -135,15 +135,17 @@ def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
 def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", most: int = 10_000, salts: int = 64) -> DataFrame:
     """Join with a table that has few rows, one per key, such as one per language.
 
-    Up to ``most`` rows it is broadcast.  Beyond, it is copied ``salts`` times
-    and joined by key and salt, so that no key gathers in one task.
+    Null is a key like any other.  Up to ``most`` rows the table is broadcast.
+    Beyond, it is copied ``salts`` times and joined by key and salt, so that no
+    key gathers in one task.
     """
-    few = materialize(few)
+    few = materialize(few.withColumnRenamed(key, "__few"))
+    same = F.col(key).eqNullSafe(F.col("__few"))
     if few.count() <= most:
-        return rows.join(F.broadcast(few), key, how)
-    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.join(F.broadcast(few), same, how).drop("__few")
+    copies = few.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+    return salted.join(copies, same & (F.col("__salt") == F.col("__copy")), how).drop("__few", "__salt", "__copy")
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import WORD, global_rank, materialize, packed
+from ._shared import WORD, global_rank, join_few, materialize, packed
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -136,11 +136,7 @@ def mix(
     ).select("source", "source_size", "target", "n_docs", F.col("quota").alias("blocks"))
     n_shards = F.ceil(F.col("n_docs") / shard_docs)
     placed = (
-        slim.join(
-            dealt.select(F.col("source").alias("__s"), "source_size", "target", "blocks", n_shards.alias("__n")),
-            F.col("source").eqNullSafe(F.col("__s")),
-        )
-        .drop("__s")
+        join_few(slim, dealt.select("source", "source_size", "target", "blocks", n_shards.alias("__n")), "source")
         .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "row_hash", "id"), F.col("__n")))
     )
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
