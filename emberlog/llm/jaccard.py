@@ -47,7 +47,7 @@ LEAF = 32
 FAN_OUT = 16
 #: Points, and shingles of sets, that one chunk of a cluster holds.
 POINT_CHUNK = 16_384
-SET_CHUNK = 1 << 21
+SET_CHUNK = 1 << 22
 PIVOTS = 4
 _PIECE = 1 << 20
 _FLUSH_PAIRS = 1 << 20
@@ -487,11 +487,21 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
     )
 
 
-def _chunked_components(members: DataFrame, chunk: int, t: Threshold, with_sets: bool) -> DataFrame:
-    """(id, component) of ``members`` (cluster, cid, n, point or hashes) that link.
+def _in_chunks(members: DataFrame, chunk: int, weight: Column) -> DataFrame:
+    """Adds size, chunks and chunk to slim ``members`` (cluster, cid, ...).
 
-    Links are sought within clusters.  ``chunk`` bounds what one task holds of
-    a cluster: members, or shingles where sets are compared.
+    ``chunk`` bounds what one task holds of a cluster, in sums of ``weight``.
+    Done before points or sets are at hand, so that these need not move for it.
+    """
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.ceil(F.sum(weight) / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks").cast("bigint")).cast("int")
+    return members.join(sizes, "cluster").withColumn("chunk", own)
+
+
+def _chunked_components(members: DataFrame, t: Threshold, with_sets: bool) -> DataFrame:
+    """(id, component) of ``members`` that link with others of their cluster.
+
+    ``members`` has cluster, cid, n, size, chunks, chunk and point or hashes.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,32 +542,30 @@ def _chunked_components(members: DataFrame, chunk: int, t: Threshold, with_sets:
         return df.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(lean(kernel), "a bigint, b bigint")
 
     cols = ["cluster", "cid", "n", "hashes" if with_sets else "point"]
-    weight = F.sum("n") if with_sets else F.count("*")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.ceil(weight / chunk).cast("int").alias("chunks"))
-    sized = members.join(sizes, "cluster")
-    own = F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks").cast("bigint")).cast("int")
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("cid", F.lit(6)), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0)
-    first = sized.withColumn("chunk", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))).select(
-        *cols, F.col("chunk").cast("bigint").alias("chunk"), F.lit(True).alias("asks"), F.col("cid").alias("part"), F.lit(-1).alias("side")
+    first = members.withColumn("in", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk")))).select(
+        *cols, F.col("in").cast("bigint").alias("chunk"), F.lit(True).alias("asks"), F.col("cid").alias("part"), F.lit(-1).alias("side")
     )
     edges = materialize(solved(first))
-    if sizes.where("chunks > 1").isEmpty():
+    large = members.where("chunks > 1")
+    if large.isEmpty():
         # every cluster was in one chunk: its stars are its components
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    large = materialize(sized.where("chunks > 1").select(*cols, "chunks", own.alias("chunk")))
     # what the chunks of a cluster leave apart: all but its largest part meets all
     # other chunks, two chunks in a task
+    slim = large.select("cluster", "cid", "chunk")
     parts = connected_components(edges)
     parted = materialize(
-        large.join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
+        slim.join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
     )
     per = parted.groupBy("cluster", "part").agg(F.count("*").alias("k"))
     main = per.groupBy("cluster").agg(F.max(F.struct("k", "part")).alias("m"), F.count("*").alias("parts")).select("cluster", F.col("m.part").alias("main"), "parts")
-    open_ = materialize(parted.join(main, "cluster").where("parts > 1").withColumn("asks", F.col("part") != F.col("main")))
+    open_ = parted.join(main, "cluster").where("parts > 1").withColumn("asks", F.col("part") != F.col("main"))
     asking = open_.where("asks").groupBy("cluster").agg(F.collect_set("chunk").alias("asking"))
+    known = materialize(open_.join(asking, "cluster").select("cid", "part", "asks", "asking"))
     others = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.col("asking"))
     pair = F.least("chunk", "other").cast("bigint") * F.col("chunks") + F.greatest("chunk", "other")
-    second = open_.join(asking, "cluster").withColumn("other", F.explode(others)).where("other <> chunk")
+    second = large.join(known, "cid").withColumn("other", F.explode(others)).where("other <> chunk")
     met = solved(second.select(*cols, pair.alias("chunk"), "asks", "part", F.col("chunk").alias("side")))
     return connected_components(edges.union(met))
 
@@ -581,26 +589,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     node = F.expr("d1 & 281474976710655")
     rows = passed.where("n is not null").select("id", "th", "n", "d1", "d2")
     classes = materialize(
-        rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("copies"))
+        rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     )
     cid: Column = F.xxhash64("d1", "d2")
 
     clusters = connected_components(passed.where("a is not null").select("a", "b"))
     near = materialize(
         classes.withColumn("node", node).join(clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "node")
-        .select("cluster", cid.alias("cid"), "d1", "d2", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+        .select("cluster", cid.alias("cid"), "d1", "d2", F.col("first.id").alias("id"), F.col("first.th").alias("th"), "n")
     )
     at_row = lambda left, right: left.id.eqNullSafe(right.id) & left.th.eqNullSafe(right.th)
-    points = in_bitmap(passed.where("n > 0").select("id", "th", "n", "point"), "th", *id_bitmap(near, "th"))
-    members = near.join(points, at_row(near, points)).select("cluster", "cid", "n", "point")
-    tight = _chunked_components(materialize(members), POINT_CHUNK, t, False)
-    chosen = materialize(
-        near.join(tight.select(F.col("id").alias("cid"), F.col("component").alias("tight")), "cid")
-        .select(F.col("tight").alias("cluster"), "cid", "id", "th")
-    )
+    points = in_bitmap(passed.where("n > 0").select("id", "th", "point"), "th", *id_bitmap(near, "th"))
+    placed = _in_chunks(near.drop("d1", "d2"), POINT_CHUNK, F.lit(1))
+    members = placed.join(points, at_row(placed, points)).select("cluster", "cid", "n", "size", "chunks", "chunk", "point")
+    tight = _chunked_components(materialize(members), t, False)
+    chosen = near.join(tight.select(F.col("id").alias("cid"), F.col("component").alias("tight")), "cid")
+    chosen = materialize(_in_chunks(chosen.select(F.col("tight").alias("cluster"), "cid", "id", "th", "n"), SET_CHUNK, F.col("n")))
     # few rows pass the bitmap, so that few texts shuffle
     asked = in_bitmap(base, "th", *id_bitmap(chosen, "th"))
-    texts = asked.join(chosen, at_row(asked, chosen)).select("cluster", "cid", "text")
+    texts = asked.join(chosen, at_row(asked, chosen)).select("cluster", "cid", "size", "chunks", "chunk", "text")
+
+    slim = ["cluster", "cid", "size", "chunks", "chunk"]
 
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -610,12 +619,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ends = sets.ends
                 hashes = [sets.hashes[e - n : e].tobytes() for e, n in zip(ends, sets.sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cluster"), part.column("cid"), pa.array(sets.sizes, pa.int64()), pa.array(hashes, pa.binary())],
-                    names=["cluster", "cid", "n", "hashes"],
+                    [*[part.column(c) for c in slim], pa.array(sets.sizes, pa.int64()), pa.array(hashes, pa.binary())],
+                    names=[*slim, "n", "hashes"],
                 )
 
-    sets = materialize(texts.mapInArrow(lean(reshingle), "cluster bigint, cid bigint, n bigint, hashes binary"))
-    links = _chunked_components(sets, SET_CHUNK, t, True)
+    sets = materialize(texts.mapInArrow(lean(reshingle), "cluster bigint, cid bigint, size bigint, chunks int, chunk int, n bigint, hashes binary"))
+    links = _chunked_components(sets, t, True)
     named = classes.select("d1", "d2", "rep", "copies", cid.alias("cid")).join(links.select(F.col("id").alias("cid"), "component"), "cid", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     final = materialize(named.join(least, "component", "left").select("d1", "d2", "copies", F.coalesce("least", "rep").alias("component_id")))
