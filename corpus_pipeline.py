@@ -21,7 +21,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; the rejected ones go."""
-    return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
+    return quality.accepted_documents(docs, table(spark, sf_dir, "labels"), order=quality.HIGH_ORDER, crossed=True)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model.
 
 The model is trained on trusted text, the documents labelled good, per
-language, over characters mapped to 64 classes.  Counts, continuation counts,
+language, over characters mapped to 64 classes.  With n-grams of order
+``HIGH_ORDER`` the tables grow with the trusted text; such a model knows its
+own texts by heart, so trusted text is parted in two by a hash of the text and
+a document is scored by the model of the other part (``crossed``).  Counts, continuation counts,
 contexts and probabilities are tables of (language, n-gram), hash-sharded and
 joined by n-gram.  The n-grams of the documents to judge are counted per
 document, packed by shard and joined to the probabilities of their shard; the
@@ -25,17 +28,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._shared import id_bitmap, in_bitmap, join_few, lean, materialize, without_rows
 
 ORDER = 3
+#: Order of the registered query and of the pipeline.
+HIGH_ORDER = 6
 ALPHABET = 64
 QUANTILE = 0.99
 #: Symbols at the mean of the language that every score is smoothed with, so
 #: that a few odd characters do not condemn a short text.
 PRIOR_SYMBOLS = 150
 SHARDS = 8
-#: Documents whose n-grams meet one copy of a model shard.
+#: Entries that a model shard has on average at most, for any size of the model.
+SHARD_ENTRIES = 1 << 18
+#: Documents, times shards, whose n-grams meet one copy of a model shard.
 SALT_DOCS = 32_768
 _CHUNK_CHARS = 1 << 20
 _CHUNK_DOCS = 2048
 _MICRO = 1e6
+#: Probability that a symbol has at least.
+_LEAST = 1e-12
+#: Codes are dealt to shards by their remainder by this prime, so that no shard
+#: stands for a last character.
+_PRIME = 1_000_003
 
 
 def _classes() -> np.ndarray:
@@ -190,6 +202,9 @@ _WIRE = "lang string, shard int, salt bigint, kind int, data binary, keys binary
 
 def _packed_documents(docs: DataFrame, order: int, shards: int, salts: int) -> DataFrame:
     """Rows (lang, shard, salt, 1, data, keys): the n-gram counts of some documents."""
+    at_shard = 12 + 6 * order  # the shard stands above the code and the document's number
+    if shards > 1 << (64 - at_shard):
+        raise ValueError(f"{shards} shards do not fit beside n-grams of order {order}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -202,18 +217,18 @@ def _packed_documents(docs: DataFrame, order: int, shards: int, salts: int) -> D
                     code, doc = ngram_codes([part[i - a] or "" for i in at], order)
                     if not len(code):
                         continue
-                    packed = np.sort((code % shards).astype(np.uint64) << np.uint64(58) | code.astype(np.uint64) << np.uint64(12) | doc.astype(np.uint64))
+                    packed = np.sort((code % _PRIME % shards).astype(np.uint64) << np.uint64(at_shard) | code.astype(np.uint64) << np.uint64(12) | doc.astype(np.uint64))
                     start = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
                     n = np.diff(np.append(start, len(packed)))
                     packed = packed[start]
-                    cut = np.searchsorted(packed >> np.uint64(58), np.arange(shards + 1, dtype=np.uint64))
+                    cut = np.searchsorted(packed >> np.uint64(at_shard), np.arange(shards + 1, dtype=np.uint64))
                     mine = keys[at]
                     salt = int(mine[0, 1] % salts)
                     for s in range(shards):
                         p, c = packed[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]
                         if not len(p):
                             continue
-                        codes = (p & np.uint64((1 << 58) - 1)) >> np.uint64(12)
+                        codes = (p & np.uint64((1 << at_shard) - 1)) >> np.uint64(12)
                         step = np.diff(codes, prepend=np.uint64(0)).astype(np.uint64)
                         cols = (step.astype("<u8").view(np.uint8).reshape(-1, 8).T, (p & np.uint64(4095)).astype("<u2").view(np.uint8).reshape(-1, 2).T, c.astype("<u4").view(np.uint8).reshape(-1, 4).T)
                         rows.append((lang, s, salt, 1, z.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in cols)), mine.tobytes()))
@@ -268,12 +283,15 @@ def perplexities(docs: DataFrame, model: KneserNey, shards: int = SHARDS) -> Dat
     asked = ngram_counts(docs, model.order)
     known = model.contexts[1].select("lang").distinct()
     p = model.probabilities(materialize(asked.join(known, "lang").select("lang", "code")))
-    salts = max(1, docs.count() // SALT_DOCS)
-    micro = F.round(-F.log("p") * _MICRO).cast("bigint")
-    # a model shard as two lists of 8-byte numbers, rising by code; a shard has
-    # at most 64 ** order / shards entries
+    entries = p.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    shards = max(shards, -(-entries // SHARD_ENTRIES))
+    salts = max(1, docs.count() // (SALT_DOCS * shards))
+    # a discount of 0 gives what was never seen in its context no chance at all
+    micro = F.round(-F.log(F.greatest("p", F.lit(_LEAST))) * _MICRO).cast("bigint")
+    # a model shard as two lists of 8-byte numbers, rising by code; shards grow in
+    # number, not in size
     shard = (
-        p.select("lang", (F.col("code") % shards).cast("int").alias("shard"), F.struct("code", micro.alias("nll")).alias("x"))
+        p.select("lang", (F.col("code") % _PRIME % shards).cast("int").alias("shard"), F.struct("code", micro.alias("nll")).alias("x"))
         .groupBy("lang", "shard")
         .agg(F.sort_array(F.collect_list("x")).alias("x"))
     )
@@ -286,6 +304,25 @@ def perplexities(docs: DataFrame, model: KneserNey, shards: int = SHARDS) -> Dat
     return _partial_sums(placed).groupBy("row", "th").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
 
 
+_PART = "\x1f"
+
+
+def _in_part(lang: Column, part: Column) -> Column:
+    return F.concat(lang, F.lit(_PART), part.cast("string"))
+
+
+def _of_other_part(counts: DataFrame) -> DataFrame:
+    """Counts by language and part of the text -> by language and part of the documents to score.
+
+    A language whose trusted text is all in one part has that model for both.
+    """
+    parts = counts.select("lang").distinct().select(F.substring_index("lang", _PART, 1).alias("own"), F.substring_index("lang", _PART, -1).cast("int").alias("part"))
+    single = parts.groupBy("own").agg(F.count("*").alias("parts"))
+    named = counts.withColumn("own", F.substring_index("lang", _PART, 1)).withColumn("part", F.substring_index("lang", _PART, -1).cast("int"))
+    to = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(1 - F.col("part"))))
+    return join_few(named, single, "own").withColumn("to", to).select(_in_part(F.col("own"), F.col("to")).alias("lang"), "code", "c")
+
+
 def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is labelled with quality 1.
 
@@ -300,7 +337,7 @@ def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR_SYMBOLS,
+    order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR_SYMBOLS, crossed: bool = False,
 ) -> DataFrame:
     """One row per input row: id, lang, n_symbols, perplexity, score, threshold, accepted, th.
 
@@ -311,14 +348,19 @@ def classify(
     text has no model: perplexity, score and threshold are null and its
     documents are accepted.  Repeated rows each give a row; extra columns of
     ``docs`` are ignored.  ``th`` is a hash of the text, to tell rows of one id
-    apart.
+    apart.  ``crossed``: no document is scored by a model that was trained on
+    its text; high orders need that.
     """
     base = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text")
     ).withColumn("row", F.coalesce("id", F.lit(0).cast("bigint")))
     trusted = trusted_documents(base.withColumnRenamed("id", id_col), labels, id_col)
-    model = KneserNey(materialize(ngram_counts(trusted, order)), order)
-    sums = perplexities(base, model)
+    if crossed:
+        own = _in_part(F.col("lang"), F.expr("th >> 32 & 1"))
+        counts = _of_other_part(materialize(ngram_counts(trusted.withColumn("lang", own), order)))
+        sums = perplexities(base.withColumn("lang", own), KneserNey(materialize(counts), order))
+    else:
+        sums = perplexities(base, KneserNey(materialize(ngram_counts(trusted, order)), order))
     # rows that are there twice were summed twice: the mean is the same
     meta = base.select("id", "row", "th", "lang", F.char_length("text").cast("bigint").alias("n_symbols"))
     found = materialize(

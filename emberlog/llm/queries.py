@@ -19,7 +19,9 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+    return quality.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), order=quality.HIGH_ORDER, crossed=True
+    ).drop("th")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,3 +131,45 @@ def test_accuracy_on_labels_left_out(spark):
 def test_query_is_whole(spark, sf_dir, texts):
     got = queries.op2_quality(spark, sf_dir)
     assert got.count() == len(texts) and "th" not in got.columns
+
+
+def test_high_order_rejects_what_trigrams_pass(make, spark):
+    """Text drawn from the trusted text's own trigrams: normal letters, wrong words."""
+    r = random.Random(6)
+    good = [prose(r, 60) for _ in range(160)]
+    follow = {}
+    for t in good:
+        for i in range(len(t) - 2):
+            follow.setdefault(t[i : i + 2], []).append(t[i + 2])
+    rows = [(i, t) for i, t in enumerate(good)] + [(500 + i, prose(r, 60)) for i in range(40)]
+    for i in range(20):
+        t = "th"
+        while len(t) < 400:
+            t += r.choice(follow[t[-2:]])
+        rows.append((900 + i, t))
+    docs, labels = make(rows), spark.createDataFrame([(i, 1) for i in range(160)], "doc_id long, quality int")
+    taken = lambda **kw: {x.doc_id for x in quality.classify(docs, labels, **kw).collect() if x.accepted}
+    low, high = taken(), taken(order=quality.HIGH_ORDER, crossed=True)
+    assert sum(i >= 900 for i in low) > 10 and not any(i >= 900 for i in high)
+    # good text that the model has not seen passes as trusted text does
+    assert sum(500 <= i < 900 for i in high) >= 38
+
+
+def test_high_order_tables_outgrow_the_trigrams(docs):
+    text = docs.selectExpr("lang", "text")
+    assert quality.ngram_counts(text, quality.HIGH_ORDER).count() > 4 * quality.ngram_counts(text, 3).count()
+
+
+def test_many_shards_and_copies_give_the_same_scores(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    key = lambda: sorted(map(repr, quality.classify(docs, labels, order=6, crossed=True).select("doc_id", "score", "accepted").collect()))
+    want = key()
+    monkeypatch.setattr(quality, "SHARD_ENTRIES", 40)
+    monkeypatch.setattr(quality, "SALT_DOCS", 2)
+    assert key() == want
+
+
+def test_a_single_trusted_text_serves_both_parts(make, spark):
+    rows = [(i, prose(random.Random(i), 30)) for i in range(12)]
+    got = quality.classify(make(rows), spark.createDataFrame([(0, 1)], "doc_id long, quality int"), order=6, crossed=True).collect()
+    assert len(got) == 12 and all(x.score is not None for x in got)
