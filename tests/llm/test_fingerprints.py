@@ -116,3 +116,38 @@ def test_near_counts(make):
 def test_native_plan(make):
     plan = fingerprints.fingerprints(make([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("radius", [8, 19, 27, 33])
+def test_wide_radius_finds_all(spark, radius):
+    r = random.Random(radius)
+    fps = set()
+    for _ in range(12):
+        base = r.getrandbits(128)
+        fps.add(base)
+        for _ in range(12):
+            x = base
+            for b in r.sample(range(128), r.randrange(0, radius + 3)):
+                x ^= 1 << b
+            fps.add(x)
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    rows = [(signed(x >> 64), signed(x & (2**64 - 1))) for x in sorted(fps)]
+    df = spark.createDataFrame(rows, "hi long, lo long")
+    asked = spark.createDataFrame(rows[::5], "hi long, lo long")
+    got = [((p.q_hi, p.q_lo), (p.hi, p.lo), p.distance) for p in fingerprints.near_fingerprints(asked, df, radius).collect()]
+    u = lambda p: ((p[0] % 2**64) << 64) | (p[1] % 2**64)
+    want = [(a, b, d) for a in rows[::5] for b in rows if (d := bin(u(a) ^ u(b)).count("1")) <= radius]
+    assert sorted(got) == sorted(want)
+
+
+def test_near_copies_of_likeness_four_fifths_are_counted(make):
+    r = random.Random(5)
+    rows = []
+    for i in range(1, 31):  # one changed word in 50: five shingles of 300 at a time, Jaccard above 0.8
+        w = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        copy = list(w)
+        for at in range(20, 300, 50):
+            copy[at] = f"x{r.randrange(10**6)}"
+        rows += [(i * 100, " ".join(w)), (i * 100 + 1, " ".join(copy))]
+    got = [x.n_near for x in fingerprints.edited_fingerprints(make(rows)).collect() if x.doc_id % 100 == 0]
+    assert max(got) == 1 and sum(got) >= 28
