@@ -379,6 +379,19 @@ def link_group(
     return edges
 
 
+def all_links(sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray], side: np.ndarray, across: bool, t: Threshold) -> Iterator[tuple[int, int]]:
+    """Every link between two members, once; ``across``: only those from one side to the other."""
+    tree = CountTree(sizes, points, t)
+    side = side[tree.order]
+    for i in range(len(sizes)):
+        near = tree.search(i)
+        near = near[near > i]
+        for j in near[side[near] != side[i]] if across else near:
+            a, b = int(tree.order[i]), int(tree.order[j])
+            if t.links(_overlap(sets[a], sets[b]), int(sizes[a]), int(sizes[b])):
+                yield a, b
+
+
 # ---------------------------------------------------------------- Spark steps
 
 
@@ -570,19 +583,17 @@ def _chunked_components(members: DataFrame, t: Threshold, with_sets: bool) -> Da
     return connected_components(edges.union(met))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row per input row: id, th, n_shingles, component_id.
+@dataclass(frozen=True)
+class _Prepared:
+    """Rows and distinct sets of a table, and the sets that may link, by tight cluster."""
 
-    Two documents link when den * intersection >= num * union of their sets of
-    ``words``-word shingles (A-Z lower-cased, words parted by white space; a
-    shorter text is one shingle).  ``component_id`` is the smallest id that
-    links reach, the row's own included.  Null and empty texts have no
-    shingles and stand alone under their own id.  Rows with a null id take
-    part; their component is null unless it holds an id.  Repeated rows each
-    give a row.  ``th`` is a hash of the text, to tell rows of one id apart.
-    """
+    rows: DataFrame
+    classes: DataFrame
+    sets: DataFrame
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, words: int, t: Threshold) -> _Prepared:
     spark = docs.sparkSession
-    t = Threshold(num, den)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
     passed = materialize(_first_pass(base, words, t, buckets))
@@ -624,10 +635,86 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     sets = materialize(texts.mapInArrow(lean(reshingle), "cluster bigint, cid bigint, size bigint, chunks int, chunk int, n bigint, hashes binary"))
-    links = _chunked_components(sets, t, True)
-    named = classes.select("d1", "d2", "rep", "copies", cid.alias("cid")).join(links.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    return _Prepared(rows, classes, sets)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row per input row: id, th, n_shingles, component_id.
+
+    Two documents link when den * intersection >= num * union of their sets of
+    ``words``-word shingles (A-Z lower-cased, words parted by white space; a
+    shorter text is one shingle).  ``component_id`` is the smallest id that
+    links reach, the row's own included.  Null and empty texts have no
+    shingles and stand alone under their own id.  Rows with a null id take
+    part; their component is null unless it holds an id.  Repeated rows each
+    give a row.  ``th`` is a hash of the text, to tell rows of one id apart.
+    """
+    t = Threshold(num, den)
+    found = _prepared(docs, id_col, text_col, words, t)
+    rows, cid = found.rows, F.xxhash64("d1", "d2")
+    links = _chunked_components(found.sets, t, True)
+    named = found.classes.select("d1", "d2", "rep", "copies", cid.alias("cid")).join(links.select(F.col("id").alias("cid"), "component"), "cid", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     final = materialize(named.join(least, "component", "left").select("d1", "d2", "copies", F.coalesce("least", "rep").alias("component_id")))
     filled, empty = rows.where("n > 0"), rows.where("n = 0").withColumn("component_id", F.col("id"))
     out = join_heavy(filled, final, ["d1", "d2"], "copies", rows.count()).drop("copies").unionByName(empty)
     return out.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "component_id")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """All links between different shingle sets: a_id, a_th, b_id, b_th, one row per pair.
+
+    A set is named by the first row that has it (smallest id, null before all,
+    then hash of the text); a comes before b.  No pair is left out because
+    others connect it already, so a large group of near copies has as many rows
+    as it has links.  Rows with equal sets link with each other and have no row
+    here.
+    """
+    t = Threshold(num, den)
+    found = _prepared(docs, id_col, text_col, words, t)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tb = pa.Table.from_batches(rows)
+            cid = tb["cid"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in tb["hashes"].to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            points = count_vectors(Sets(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes))
+            ends: list[tuple[int, int]] = []
+
+            def out() -> pa.RecordBatch:
+                e = cid[np.array(ends, np.int64).reshape(-1, 2)]
+                return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+            for e in all_links(sizes, points, sets, tb["side"].to_numpy(), tb["across"][0].as_py(), t):
+                ends.append(e)
+                if len(ends) == 1 << 16:
+                    yield out()
+                    ends.clear()
+            yield out()
+
+        now, rows = None, []
+        for b in batches:
+            marks = list(zip(b.column("cluster").to_pylist(), b.column("pair").to_pylist()))
+            for i, mark in enumerate(marks):
+                if mark != now:
+                    if rows:
+                        yield from solve(rows)
+                    now, rows = mark, []
+                rows.append(b.slice(i, 1))
+        if rows:
+            yield from solve(rows)
+
+    # every two chunks of a cluster meet in a task, and each chunk by itself in one
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    placed = found.sets.withColumn("other", other).select(
+        "cluster", "cid", "hashes", F.col("chunk").cast("bigint").alias("side"), (F.col("chunk") != F.col("other")).alias("across"),
+        (F.least("chunk", "other").cast("bigint") * F.col("chunks") + F.greatest("chunk", "other")).alias("pair"),
+    )
+    met = placed.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(lean(kernel), "a bigint, b bigint")
+    first = found.classes.select(F.xxhash64("d1", "d2").alias("cid"), "first")
+    named = met.join(first.select(F.col("cid").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("cid").alias("b"), F.col("first").alias("y")), "b")
+    low, high = F.when(F.col("x") <= F.col("y"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x") <= F.col("y"), F.col("y")).otherwise(F.col("x"))
+    return named.select(low.alias("a"), high.alias("b")).select(
+        F.col("a.id").alias("a_id"), F.col("a.th").alias("a_th"), F.col("b.id").alias("b_id"), F.col("b.th").alias("b_th")
+    )

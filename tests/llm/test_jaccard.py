@@ -138,3 +138,25 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     parts = jaccard.word_hashes(text)
     jaccard._powers.cache_clear()
     assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
+@pytest.mark.parametrize("chunk", [300, None])
+def test_links_equal_brute_force(make, monkeypatch, chunk):
+    """All pairs, those that others connect already too, in one chunk and in many."""
+    if chunk:
+        monkeypatch.setattr(jaccard, "SET_CHUNK", chunk)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):  # chains: neighbours link, ends do not
+        base[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(families(4, 3, 40))] + [(2000, rows[0][1]), (2001, None)]
+    first = {}
+    for d, t in sorted(rows, key=lambda x: x[0]):
+        first.setdefault(shingles(t, 3), d)
+    want = sorted(
+        tuple(sorted((first[a], first[b]))) for a, b in combinations(first, 2) if a and b and 10 * len(a & b) >= 8 * len(a | b)
+    )
+    got = sorted((x.a_id, x.b_id) for x in jaccard.jaccard_links(make(rows), words=3, num=8, den=10).collect())
+    assert got == want and len(want) > 60
