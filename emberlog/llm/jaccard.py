@@ -38,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._hashing import BYTE, STEP, U64, mix, span_hashes
 from ._shared import connected_components, id_bitmap, in_bitmap, join_heavy, lean, least_of_components, materialize
 
 #: Groups of the points; the tree's nodes hold them folded to COARSE sums.
@@ -51,37 +52,16 @@ SET_CHUNK = 1 << 22
 PIVOTS = 4
 _PIECE = 1 << 20
 _FLUSH_PAIRS = 1 << 20
-_U = np.uint64
 _RATIO = 1.3
 
 
 # ---------------------------------------------------------------- shingles
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, on a copy."""
-    x = x ^ (x >> _U(30))
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(27)
-    x *= _U(0x94D049BB133111EB)
-    x ^= x >> _U(31)
-    return x
-
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+_BYTE = BYTE.copy()
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_STEP = _mix(np.arange(1, 65, dtype=np.uint64)) | _U(1)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
 
 
 def _pieces(data: bytes) -> Iterator[tuple[int, int]]:
@@ -110,13 +90,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         last = ~blank
         last[:-1] &= blank[1:]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        size = max(len(a), _PIECE)
-        up, down = _powers(1 << (size - 1).bit_length())
-        sums = np.empty(len(a) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _STEP[63]
-        hashes.append(_mix(h))
+        hashes.append(span_hashes(_BYTE[a], s, e, _PIECE))
         starts.append(s + lo)
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -146,9 +120,9 @@ def shingle_sets(texts: list[str], words: int) -> Sets:
     if len(h) >= k:
         s = np.zeros(len(h) - k + 1, np.uint64)
         for j in range(k):
-            s += h[j : len(h) - k + 1 + j] * _STEP[j]
+            s += h[j : len(h) - k + 1 + j] * STEP[j]
         whole = doc[: len(s)] == doc[k - 1 :]
-        s, s_doc = _mix(s[whole]), doc[: len(s)][whole]
+        s, s_doc = mix(s[whole]), doc[: len(s)][whole]
     else:
         s, s_doc = np.empty(0, np.uint64), np.empty(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < k))
@@ -157,9 +131,9 @@ def shingle_sets(texts: list[str], words: int) -> Sets:
         one = np.empty(len(short), np.uint64)
         for i, d in enumerate(short):
             w = h[begin[d] : begin[d] + counts[d]]
-            one[i] = np.append(w, _U(counts[d])).dot(np.append(_STEP[: len(w)], _STEP[62]))
+            one[i] = np.append(w, U64(counts[d])).dot(np.append(STEP[: len(w)], STEP[62]))
         place = np.searchsorted(s_doc, short)
-        s, s_doc = np.insert(s, place, _mix(one)), np.insert(s_doc, place, short)
+        s, s_doc = np.insert(s, place, mix(one)), np.insert(s_doc, place, short)
     edges = np.searchsorted(s_doc, np.arange(len(texts) + 1))
     for a, b in zip(edges[:-1], edges[1:]):
         s[a:b].sort()
@@ -178,14 +152,14 @@ def digests(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     for salt in (1, 2):
         d = np.zeros(len(sets.sizes), np.uint64)
         if len(starts):
-            d[filled] = _mix(np.add.reduceat(_mix(sets.hashes + _STEP[salt]), starts) + sets.sizes[filled].astype(np.uint64))
+            d[filled] = mix(np.add.reduceat(mix(sets.hashes + STEP[salt]), starts) + sets.sizes[filled].astype(np.uint64))
         out.append(d.view(np.int64))
     return out[0], out[1]
 
 
 def count_vectors(sets: Sets) -> np.ndarray:
     """The points: how many shingles of each document fall into each group."""
-    at = sets.doc * GROUPS + (sets.hashes & _U(GROUPS - 1)).astype(np.int64)
+    at = sets.doc * GROUPS + (sets.hashes & U64(GROUPS - 1)).astype(np.int64)
     return np.bincount(at, minlength=len(sets.sizes) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
@@ -250,15 +224,15 @@ def segment_keys(sets: Sets, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
     own = np.searchsorted(first, sets.sizes, "right") - 1
     low = np.searchsorted(first, t.smallest(sets.sizes), "right") - 1
     keys, docs = [], []
-    content = _mix(sets.hashes + _STEP[3])
-    top = sets.hashes >> _U(32)
+    content = mix(sets.hashes + STEP[3])
+    top = sets.hashes >> U64(32)
     for down in range(int((own - low)[sets.sizes > 0].max(initial=-1)) + 1):
         level = own - down
         use = (sets.sizes > 0) & (level >= low)
         mine = use[sets.doc]
         doc, c = sets.doc[mine], content[mine]
         g = segments[np.maximum(level, 0)]
-        seg = ((top[mine] * g[doc].astype(np.uint64)) >> _U(32)).astype(np.int64)
+        seg = ((top[mine] * g[doc].astype(np.uint64)) >> U64(32)).astype(np.int64)
         if not len(doc):
             continue
         new = np.ones(len(doc), bool)
@@ -266,12 +240,12 @@ def segment_keys(sets: Sets, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(new)
         d, s = doc[starts], seg[starts]
         sums = np.add.reduceat(c, starts)
-        keys.append(_mix(sums + _mix(level[d].astype(np.uint64) * _STEP[4] + s.astype(np.uint64) * _STEP[5])))
+        keys.append(mix(sums + mix(level[d].astype(np.uint64) * STEP[4] + s.astype(np.uint64) * STEP[5])))
         docs.append(d)
         filled = np.bincount(d, minlength=len(sets.sizes))
         for i in np.flatnonzero(use & (g - filled > spare[np.maximum(level, 0)])):
             gone = np.setdiff1d(np.arange(g[i]), s[d == i]).astype(np.uint64)
-            keys.append(_mix(_mix(level[i : i + 1].astype(np.uint64) * _STEP[4] + gone * _STEP[5])))
+            keys.append(mix(mix(level[i : i + 1].astype(np.uint64) * STEP[4] + gone * STEP[5])))
             docs.append(np.full(len(gone), i))
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -400,7 +374,7 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
     map_schema = "bucket int, keys binary, nodes binary, id bigint, th bigint, n bigint, d1 bigint, d2 bigint, point binary"
     names = [f.strip().split(" ")[0] for f in map_schema.split(",")]
     kinds = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.binary()]
-    mask = _U((1 << 48) - 1)
+    mask = U64((1 << 48) - 1)
 
     def batch(cols: dict[str, list], n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols.get(k, [None] * n), ty) for k, ty in zip(names, kinds)], names=names)
@@ -413,10 +387,10 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
         k, v = np.concatenate(keys), np.concatenate(nodes)
         order, pairs, head = _equal_runs(k, v)
         k, v = k[order][head], v[order][head]
-        to = (k % _U(buckets)).astype(np.int32)
+        to = (k % U64(buckets)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        k5 = (k[order] >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+        k5 = (k[order] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
         v6 = v[order].view(np.uint8).reshape(-1, 8)[:, :6]
         used = np.flatnonzero(np.diff(cut))
         rows = {"bucket": used.tolist(), "keys": [k5[cut[b] : cut[b + 1]].tobytes() for b in used], "nodes": [v6[cut[b] : cut[b + 1]].tobytes() for b in used]}
@@ -442,7 +416,7 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
                 d1, d2 = digests(sets)
                 points = count_vectors(sets)
                 node = d1.view(np.uint64) & mask
-                cols = {"bucket": (node % _U(buckets)).astype(np.int32).tolist(), "n": sets.sizes.tolist(), "d1": d1.tolist(), "d2": d2.tolist(), "point": _packed_points(points)}
+                cols = {"bucket": (node % U64(buckets)).astype(np.int32).tolist(), "n": sets.sizes.tolist(), "d1": d1.tolist(), "d2": d2.tolist(), "point": _packed_points(points)}
                 cols |= {"id": b.column("id").slice(a, e - a).to_pylist(), "th": b.column("th").slice(a, e - a).to_pylist()}
                 yield batch(cols, e - a)
                 k, d = segment_keys(sets, t)
