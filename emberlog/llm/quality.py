@@ -55,7 +55,7 @@ _FIRST_WORD = 3
 SHARDS = 4
 SHARD_TOKENS = 1 << 23
 #: Documents, times shards, whose bigrams meet one copy of a model shard.
-SALT_DOCS = 32_768
+SALT_DOCS = 16_384
 #: Labelled ids up to which they are broadcast; beyond, texts are joined by a shuffle.
 FEW_IDS = 1 << 22
 _WORD_SHARDS = 32
