@@ -2,25 +2,29 @@
 
 Targets: every source gets a share of all words by its weight, but no more
 than ``max_repeats`` times its own size; what is over is shared again.
-Words are dealt in equal blocks.  Blocks go to sources by the highest
-quotients target / (2k + 1), and each source's blocks go to its shards by the
-same rule.  Inside a shard documents stand in a seeded order; the shard's
+Words are dealt in equal blocks, smaller ones in small mixes.  Blocks go to
+sources by the highest quotients target / (2k + 1), and each source's blocks
+go to its shards by the same rule.  Inside a shard documents stand in a seeded order; the shard's
 quota is a number of full passes plus the first blocks of that order.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ._shared import WORD, global_rank, join_few, materialize, packed
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: Words of a block at most; a block is no more than the least target by BLOCKS_LEAST.
 BLOCK_WORDS = 64
+BLOCKS_LEAST = 1000
+#: Documents of a shard, and shards of a source at most; beyond, shards grow.
 SHARD_DOCS = 8192
+MAX_SHARDS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -48,50 +52,96 @@ def fill_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     return s.withColumn("target", F.least("__cap", F.col("weight") * F.lit(rate))).drop("__cap")
 
 
-def _same(a: list[str], b: list[str]) -> Column:
-    tests = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)]
-    return reduce(Column.__and__, tests)
+#: Quotients nearer than this to the last one dealt are compared one by one.
+_NEAR = 1e-13
+_CANDIDATES = 48
+
 
+def seats_above(votes: np.ndarray, limits: np.ndarray, q: float) -> np.ndarray:
+    """How many quotients votes / (2k + 1), k below the limit, are at least q."""
+    return np.minimum(limits, np.floor((votes / q + 1) / 2)).astype(np.int64)
 
-def sainte_lague(df: DataFrame, by: str | None, key: str, votes: str, seats: str, limit: str) -> DataFrame:
-    """Adds ``quota``: ``seats`` dealt by the highest quotients votes / (2k + 1).
 
-    One row per ``key``, within each group of ``by`` (None: all rows are one
-    group).  The floor of the exact share less one is given at once, that many
-    quotients beat the last one dealt; the few seats that remain go to the
-    highest quotients one by one, then by key.  No row gets more than
-    ``limit``.
+def apportion(votes: np.ndarray, limits: np.ndarray, seats: int) -> np.ndarray:
+    """Seats of each row by the highest quotients votes / (2k + 1); of equal ones the first row's."""
+    v, limits = votes.astype(np.float64), np.where(votes > 0, limits, 0).astype(np.int64)
+    seats = min(seats, int(limits.sum()))
+    if seats <= 0:
+        return np.zeros(len(v), np.int64)
+    high, low = v.max() * 2, v.max()
+    while seats_above(v, limits, low).sum() < seats:
+        high, low = low, low / 16
+    while high / low > 1 + _NEAR:
+        mid = (high * low) ** 0.5
+        if not low < mid < high:
+            break
+        if seats_above(v, limits, mid).sum() < seats:
+            high = mid
+        else:
+            low = mid
+    won = seats_above(v, limits, high * (1 + _NEAR))
+    open_ = seats_above(v, limits, low * (1 - _NEAR)) - won
+    row = np.repeat(np.arange(len(v)), open_)
+    k = won[row] + np.arange(len(row)) - np.repeat(np.cumsum(open_) - open_, open_)
+    best = np.lexsort((k, row, -v[row] / (2 * k + 1)))[: seats - int(won.sum())]
+    return won + np.bincount(row[best], minlength=len(v))
+
+
+def sainte_lague(df: DataFrame, key: list[Column], votes: str, limit: str, seats: int) -> DataFrame:
+    """Adds ``quota``: ``seats`` dealt over all rows by the highest quotients votes / (2k + 1).
+
+    No row gets more than ``limit``; of equal quotients the first in the order
+    of ``key`` wins.  The quotient of the last seat is searched by sums over
+    the rows, ``_CANDIDATES`` values in each; only quotients that equal it to
+    13 digits are then ranked.  Nothing but sums reaches the driver.
     """
-    if by:
-        sums = df.groupBy(F.col(by).alias("__by")).agg(F.sum(votes).alias("__sum"))
-        share = df.join(sums, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
-    else:
-        share = df.withColumn("__sum", F.lit(float(df.agg(F.sum(votes)).first()[0] or 0)))
-    exact = F.when(F.col("__sum") > 0, F.col(votes) / F.col("__sum") * F.col(seats)).otherwise(0.0)
-    base = materialize(
-        share.withColumn("__base", F.least(F.col(limit), F.greatest(F.lit(0), F.floor(exact) - 1)).cast("long")).drop("__sum")
-    )
-    next_ = (
-        base.where(F.col(votes) > 0)
-        .withColumn("__k", F.explode(F.expr(f"sequence(__base, least({limit}, __base + 4))")))
-        .where(F.col("__k") < F.col(limit))
-        .withColumn("__q", F.col(votes) / (2 * F.col("__k") + 1))
-    )
-    order = [F.col("__q").desc(), F.col(key).asc_nulls_last(), F.col("__k")]
-    if by:
-        left = base.groupBy(F.col(by).alias("__by")).agg((F.first(seats) - F.sum("__base")).alias("__left"))
-        ranked = next_.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-        won = ranked.join(left, F.col(by).eqNullSafe(F.col("__by"))).where("__r <= __left")
-    else:
-        given, all_ = base.agg(F.sum("__base"), F.first(seats)).first()
-        won = global_rank(next_, order, "__r").where(F.col("__r") <= F.lit((all_ or 0) - (given or 0)))
-    keys = [by, key] if by else [key]
-    more = won.groupBy(*[F.col(c).alias(f"__{c}_r") for c in keys]).agg(F.count("*").alias("__more"))
-    return (
-        base.join(more, _same(keys, [f"__{c}_r" for c in keys]), "left")
-        .withColumn("quota", F.col("__base") + F.coalesce("__more", F.lit(0)))
-        .drop("__base", "__more", *[f"__{c}_r" for c in keys])
+    v, most = F.col(votes).cast("double"), F.when(F.col(votes) > 0, F.col(limit)).otherwise(0).cast("long")
+    above = lambda q: F.least(most, F.floor((v / F.lit(float(q)) + 1) / 2).cast("long"))
+    count = lambda qs: [x or 0 for x in df.agg(*[F.sum(above(q)) for q in qs]).first()]
+    top, all_ = df.agg(F.max(v), F.sum(most)).first()
+    seats = min(seats, all_ or 0)
+    if seats <= 0:
+        return df.withColumn("quota", F.lit(0).cast("long"))
+    high, low = top * 2, top
+    while count([low])[0] < seats:
+        high, low = low, low / 2**20
+    while high / low > 1 + _NEAR:
+        step = (low / high) ** (1 / (_CANDIDATES + 1))
+        grid = [q for i in range(1, _CANDIDATES + 1) if low < (q := high * step**i) < high]
+        reached = list(zip(grid, count(grid))) if grid else []
+        new = (min([q for q, n in reached if n < seats], default=high), max([q for q, n in reached if n >= seats], default=low))
+        if new == (high, low):
+            break
+        high, low = new
+    base = materialize(df.withColumn("__won", above(high * (1 + _NEAR))).withColumn("__reach", above(low * (1 - _NEAR))))
+    given = base.agg(F.sum("__won")).first()[0]
+    names = [f"__key{i}" for i in range(len(key))]
+    open_ = (
+        base.where("__reach > __won").withColumns(dict(zip(names, key)))
+        .withColumn("__k", F.explode(F.expr("sequence(__won, __reach - 1)")))
+        .select(*names, (-(v / (2 * F.col("__k") + 1))).alias("__q"), "__k", F.struct(*df.columns).alias("__row"))
     )
+    order = [F.col("__q"), *[F.col(n).asc_nulls_last() for n in names], F.col("__k")]
+    more = global_rank(open_, order, "__r").where(F.col("__r") <= seats - given).groupBy("__row").agg(F.count("*").alias("__more"))
+    extra = more.select("__row", "__more").union(base.select(F.struct(*df.columns).alias("__row"), F.col("__won").alias("__more")))
+    return extra.groupBy("__row").agg(F.sum("__more").alias("quota")).select("__row.*", "quota")
+
+
+def shard_quotas(shards: DataFrame, block: int, max_repeats: int) -> DataFrame:
+    """source, shard, shard_size, take: each source's blocks dealt to its shards.
+
+    ``shards`` has at most ``MAX_SHARDS`` rows a source: source, shard,
+    shard_size, blocks.
+    """
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard", kind="stable")
+        size = rows["shard_size"].to_numpy()
+        quota = apportion(size, -(-size * max_repeats // block), int(rows["blocks"].iloc[0]))
+        return rows.assign(take=np.minimum(quota * block, size * max_repeats))[["source", "shard", "shard_size", "take"]]
+
+    schema = T.StructType([shards.schema["source"], *(T.StructField(c, T.LongType()) for c in ("shard", "shard_size", "take"))])
+    return shards.select("source", F.col("shard").cast("long"), F.col("shard_size").cast("long"), F.col("blocks").cast("long")).groupBy("source").applyInPandas(deal, schema)
 
 
 def mix(
@@ -103,6 +153,7 @@ def mix(
     max_repeats: int = MAX_REPEATS,
     block_words: int = BLOCK_WORDS,
     shard_docs: int = SHARD_DOCS,
+    max_shards: int = MAX_SHARDS,
     seed: int = 7,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, source, row_hash.
@@ -129,23 +180,19 @@ def mix(
     )
     targets = materialize(fill_targets(materialize(ranked.drop("__i")), max_repeats))
     # source quotas in blocks; the whole mix is one body of seats
-    seats = targets.agg(F.sum("target")).first()[0] or 0.0
-    cap = F.ceil(F.col("source_size") * max_repeats / block_words)
+    seats, least = targets.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    block = max(1, min(block_words, int((least or 0) // BLOCKS_LEAST)))
     dealt = sainte_lague(
-        targets.withColumns({"__seats": F.lit(int(round(seats / block_words))), "__limit": cap}), None, "source", "target", "__seats", "__limit"
-    ).select("source", "source_size", "target", "n_docs", F.col("quota").alias("blocks"))
-    n_shards = F.ceil(F.col("n_docs") / shard_docs)
+        targets.withColumn("__limit", F.ceil(F.col("source_size") * max_repeats / block)), [F.col("source").cast("binary")], "target", "__limit", round((seats or 0) / block)
+    )
+    n_shards = F.least(F.lit(max_shards), F.ceil(F.col("n_docs") / shard_docs))
     placed = (
-        join_few(slim, dealt.select("source", "source_size", "target", "blocks", n_shards.alias("__n")), "source")
+        join_few(slim, dealt.select("source", "source_size", "target", F.col("quota").alias("blocks"), n_shards.alias("__n")), "source")
         .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "row_hash", "id"), F.col("__n")))
     )
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    quotas = sainte_lague(
-        shards.withColumn("__limit", F.ceil(F.col("shard_size") * max_repeats / block_words)),
-        "source", "shard", "shard_size", "blocks", "__limit",
-    ).select(
-        F.col("source").alias("__s"), F.col("shard").alias("__h"), "shard_size",
-        F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeats).alias("__take"),
+    quotas = shard_quotas(shards, block, max_repeats).select(
+        F.col("source").alias("__s"), F.col("shard").alias("__h"), "shard_size", F.col("take").alias("__take")
     )
     inside = Window.partitionBy("source", "shard").orderBy("row_hash", F.col("id").asc_nulls_last())
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

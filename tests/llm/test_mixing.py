@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import mixing, queries
 
@@ -89,17 +91,52 @@ def test_documents_are_repeated_as_taken(make):
         assert counts[i] == (int(n / size + 0.5) if size else 0)
 
 
-def test_highest_quotients(spark):
-    """Against the rule dealt seat by seat."""
-    r = random.Random(3)
-    for _ in range(4):
-        votes = {f"s{i}": r.randrange(1, 1000) for i in range(9)}
-        seats = r.randrange(1, 60)
-        won = dict.fromkeys(votes, 0)
-        for _ in range(seats):
-            best = max(votes, key=lambda s: (votes[s] / (2 * won[s] + 1), [-ord(c) for c in s]))
-            won[best] += 1
-        df = spark.createDataFrame([(s, float(v), seats, 10**6) for s, v in votes.items()], "source string, v double, seats long, most long")
-        for part in (None, "part"):
-            got = mixing.sainte_lague(df.selectExpr("*", "0 AS part"), part, "source", "v", "seats", "most")
-            assert {x.source: x.quota for x in got.collect()} == won
+def dealt(votes, limits, seats):
+    """Seat by seat, to the highest quotient, of equal ones to the first row."""
+    won = [0] * len(votes)
+    for _ in range(seats):
+        open_ = [i for i in range(len(votes)) if won[i] < limits[i] and votes[i] > 0]
+        if not open_:
+            break
+        won[max(open_, key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+    return won
+
+
+CASES = [
+    ([5000] + [25 + i % 3 for i in range(200)], 10**6, 100),
+    ([5002] + [50 + i % 51 for i in range(66)], 10**6, 100),
+    ([7, 7, 7, 7], 10**6, 6),
+    ([100, 1, 1, 0], 10, 30),
+    ([3, 5], 1, 9),
+    ([0, 0], 5, 3),
+    ([], 5, 3),
+    ([1000] * 50, 40, 333),
+]
+
+
+@pytest.mark.parametrize("votes, limit, seats", CASES)
+def test_highest_quotients(spark, votes, limit, seats):
+    limits = [limit + i % 2 for i in range(len(votes))]
+    want = dealt(votes, limits, seats)
+    if votes:
+        assert mixing.apportion(np.array(votes), np.array(limits), seats).tolist() == want
+    df = spark.createDataFrame([(i, float(v), m) for i, (v, m) in enumerate(zip(votes, limits))], "key int, votes double, most long")
+    got = {r.key: r.quota for r in mixing.sainte_lague(df, [F.col("key")], "votes", "most", seats).collect()}
+    assert [got[i] for i in range(len(votes))] == want
+
+
+def test_quotients_of_random_rows():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 30, 200):
+        votes, limits = r.integers(0, 500, n), r.integers(0, 30, n)
+        for seats in (1, n, 5 * n, 100 * n):
+            assert mixing.apportion(votes, limits, seats).tolist() == dealt(votes.tolist(), limits.tolist(), seats)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_corpora_come_near_their_targets(make, seed):
+    r = random.Random(seed)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 6)), r.choice("ab")) for i in range(r.choice([3, 10, 40]))]
+    check(rows, mixing.mix(make([(i, t, "en", s) for i, t, s in rows])).collect(), tolerance=1)
+
+
