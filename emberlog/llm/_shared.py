@@ -193,14 +193,16 @@ def _spread(e: DataFrame, total: int) -> DataFrame:
     hubs than HEAVY_KEYS, and none gathers in one task.
     """
     limit = max(HUB_EDGES, total // HEAVY_KEYS)
-    hubs = [r[0] for r in e.groupBy("b").count().where(F.col("count") > limit).select("b").collect()] if total > limit else []
+    # as many parts as a hub has times the limit
+    hubs = {b: min(_HUB_PARTS, -(-n // limit)) for b, n in e.groupBy("b").count().where(F.col("count") > limit).collect()} if total > limit else {}
     part = lambda node, i: F.struct(node.alias("node"), i.cast("int").alias("part"))
     a, b, zero = F.col("a"), F.col("b"), F.lit(0)
     to_a, at_b = F.array(part(a, zero)), zero
     if hubs:
-        known = F.array(*[F.lit(h).cast("bigint") for h in hubs])
-        to_a = F.when(F.array_contains(known, a), F.transform(F.sequence(zero, F.lit(_HUB_PARTS - 1)), lambda i: part(a, i))).otherwise(to_a)
-        at_b = F.when(F.array_contains(known, b), F.pmod(F.xxhash64(a), F.lit(_HUB_PARTS))).otherwise(zero)
+        parts = F.create_map(*[x for h, n in hubs.items() for x in (F.lit(h).cast("bigint"), F.lit(n))])
+        of_a, of_b = (F.coalesce(F.element_at(parts, x), F.lit(1)) for x in (a, b))
+        to_a = F.transform(F.sequence(zero, of_a - 1), lambda i: part(a, i))
+        at_b = F.pmod(F.xxhash64(a), of_b).cast("int")
     return e.select("a", "b", F.explode(F.concat(to_a, F.array(part(b, at_b)))).alias("to")).select("a", "b", "to.node", "to.part")
 
 
