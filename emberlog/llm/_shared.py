@@ -16,6 +16,11 @@ from ..storage import fresh_dir
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of one batch for Python workers when a table is written.
+BATCH_ROWS = 2000
+
+
 def release_memory() -> None:
     """Hands memory that is free back to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -50,10 +55,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage; a lost executor costs a re-read, not a recomputation.
+    Batches for Python are small meanwhile, so that what a JVM holds beside
+    its heap for whole texts stays small.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, "table")
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(usual), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
