@@ -2,12 +2,21 @@
 
 A tolerant parser builds the element tree.  Every node has a link-adjusted
 density, characters per tag made smaller by the share of link text; the
-density sum of a node adds the densities of its children.  The node of the
-largest sum carries the text.  The smallest density on its path to the body is
-the threshold: every subtree beside the path that reaches it gives its own
-node of the largest sum.  A node inside an article or main element stands for that
-element.  Elements that are never text (navigation, forms, adverts, reader
-comments and the like) do not count and are left out.
+density sum of a block adds the densities of the blocks right below it (what
+is inline counts as tags and text of its block).  The block of the largest sum
+carries the text.  The smallest density on its path to the body is the
+threshold: every subtree beside the path that reaches it gives its own block
+of the largest sum.  If these hold at least half the text of an article or
+main element around the best block, that element is taken with its short
+parts.
+
+What HTML says is no text (navigation, forms, scripts, asides and the like)
+does not count and is left out.  Containers whose class, id or role names such
+a part are left out too, for density cannot tell an advert or a reader's
+comment from a paragraph; but one that holds more than half of the page's text,
+in blocks, is taken for a wrapper, unless it is named after comments, and if
+nothing is left on a page without an article or main element, names are not
+looked at.
 """
 
 from __future__ import annotations
@@ -23,8 +32,9 @@ from pyspark.sql import DataFrame, types as T
 from ._shared import lean
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+    # a quote opens a value only after an equals sign
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -53,34 +63,39 @@ _NAMES = frozenset(
 )
 _BEGINNINGS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "promo", "sponsor", "banner", "footer", "navbar", "subscri", "popup")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_WHOLE = frozenset(("article", "main"))
+_READERS = ("comment", "disqus", "respond")
+#: Why an element is left out: never text; named as a part that is none; named after readers' comments.
+_NO, _ALWAYS, _NAMED, _REMARKS = 0, 1, 2, 3
 
 
-def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
+def _reason(tag: str, attrs: str, in_article: bool) -> int:
     if tag in _NEVER or (tag == "header" and not in_article):
-        return True
+        return _ALWAYS
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return _NO
+    found = _NO
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             words = _WORDS.split(value)
+            if any(w.startswith(_READERS) and w != "commentary" for w in words):
+                return _REMARKS
             if not _NAMES.isdisjoint(words) or ("header" in words and not in_article) or any(w.startswith(_BEGINNINGS) and w != "commentary" for w in words):
-                return True
+                found = _NAMED
         elif name == "role" and value in _ROLES:
-            return True
+            found = _NAMED
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _ALWAYS
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return _ALWAYS
+    return found
 
 
 class _Tree:
     """Nodes in page order; node 0 is the root and stands for the body."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.cut = ["body"], [-1], [False]
+        self.tag, self.parent, self.reason = ["body"], [-1], [_NO]
         self.texts: list[tuple[int, str]] = []  # (node, decoded text); a block break is (node, None)
         open_, at, drop, article = [0], 0, 0, 0
         add = self.texts.append
@@ -102,8 +117,8 @@ class _Tree:
                     node = open_[i]
                     if self.tag[node] == tag:
                         for x in open_[i:]:
-                            drop -= self.cut[x]
-                            article -= self.tag[x] in _WHOLE
+                            drop -= self.reason[x] == _ALWAYS
+                            article -= self.tag[x] in ("article", "main")
                         del open_[i:]
                         break
                     if tag in _INLINE and self.tag[node] not in _INLINE and self.tag[node] != "p":
@@ -114,8 +129,8 @@ class _Tree:
             if tag in ("html", "body"):
                 # what stands open of the head ends here
                 for x in open_[1:]:
-                    drop -= self.cut[x]
-                    article -= self.tag[x] in _WHOLE
+                    drop -= self.reason[x] == _ALWAYS
+                    article -= self.tag[x] in ("article", "main")
                 del open_[1:]
                 continue
             ends = {"p"} if tag in _CLOSES_P else _SAME.get(tag, ())
@@ -124,19 +139,19 @@ class _Tree:
                     name = self.tag[open_[i]]
                     if name in ends:
                         for x in open_[i:]:
-                            drop -= self.cut[x]
-                            article -= self.tag[x] in _WHOLE
+                            drop -= self.reason[x] == _ALWAYS
+                            article -= self.tag[x] in ("article", "main")
                         del open_[i:]
                         break
                     if name not in _INLINE and (name in _LISTS or tag in _CLOSES_P):
                         break
             if tag not in _INLINE and not drop:
                 add((open_[-1], " " if tag == "br" else None))
-            cut = not drop and _dropped(tag, m["attrs"], article > 0)
+            reason = _NO if drop else _reason(tag, m["attrs"], article > 0)
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(open_[-1])
-            self.cut.append(cut)
+            self.reason.append(reason)
             if tag in _VOID or m["attrs"].endswith("/") and tag not in _RAW and tag not in _CLOSES_P:
                 continue
             if tag in _RAW:
@@ -144,40 +159,60 @@ class _Tree:
                 at = end.end() if end else len(page)
                 continue
             open_.append(node)
-            drop += cut
-            article += tag in _WHOLE
+            drop += reason == _ALWAYS
+            article += tag in ("article", "main")
         if at < len(page) and not drop:
             add((open_[-1], html.unescape(page[at:])))
 
+    def _left_out(self) -> list[bool]:
+        """Which nodes do not count: never text, or in a named part that is no wrapper."""
+        n = len(self.tag)
+        chars = [0] * n
+        for i, t in self.texts:
+            chars[i] += len(t.strip()) if t else 0
+        blocks = [0] * n
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            blocks[self.parent[i]] += blocks[i] + (self.tag[i] not in _INLINE and self.tag[i] not in _VOID)
+        wrapper = [blocks[i] > 1 and 2 * chars[i] > chars[0] for i in range(n)]
+        out = [False] * n
+        for use_names in (True, False):
+            left = chars[0]
+            for i in range(1, n):
+                named = use_names and (self.reason[i] == _REMARKS or (self.reason[i] == _NAMED and not wrapper[i]))
+                out[i] = out[self.parent[i]] or self.reason[i] == _ALWAYS or named
+                left -= chars[i] if out[i] and not out[self.parent[i]] else 0
+            if left > 0 or "article" in self.tag or "main" in self.tag:
+                break
+        return out
+
     def densities(self) -> tuple[list[float], list[float]]:
         n = len(self.tag)
-        gone = [False] * n
-        for i in range(1, n):
-            gone[i] = self.cut[i] or gone[self.parent[i]]
+        self.out = out = self._left_out()
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         linked = [False] * n
         for i in range(1, n):
             linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
         for i, t in self.texts:
-            if t and not gone[i]:
+            if t and not out[i]:
                 k = len(t.strip())
                 chars[i] += k
                 if linked[i]:
                     links[i] += k
         for i in range(n - 1, 0, -1):
-            if gone[i]:
+            if out[i]:
                 continue
             p = self.parent[i]
             chars[p] += chars[i]
             links[p] += links[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (self.tag[i] == "a")
-        self.chars, self.gone = chars, gone
+        self.chars = chars
         share = links[0] / max(chars[0], 1)
         density, total = [0.0] * n, [0.0] * n
         for i in range(n):
             c = chars[i]
-            if gone[i] or not c:
+            if out[i] or not c or (i and self.tag[i] in _INLINE):
                 continue
             lc, lt, t = links[i], max(link_tags[i], 1), max(tags[i], 1)
             ratio = c / max(lc, 1) * t / lt
@@ -185,56 +220,56 @@ class _Tree:
             # without any link text the base is 1; the natural logarithm stands in
             density[i] = c / t * (math.log(ratio + 1) / math.log(base) if base > math.e else math.log(ratio + 1))
             if i:
-                total[self.parent[i]] += density[i]
+                total[self._block(i)] += density[i]
         return density, total
 
+    def _block(self, i: int) -> int:
+        """The nearest block around a node."""
+        i = self.parent[i]
+        while i and self.tag[i] in _INLINE:
+            i = self.parent[i]
+        return i
+
     def content(self) -> set[int]:
         """Nodes whose subtrees are the text."""
         density, total = self.densities()
         n = len(self.tag)
-        best = max(range(n), key=lambda i: (total[i], -i))
+        blocks = [i for i in range(n) if not i or self.tag[i] not in _INLINE]
+        best = max(blocks, key=lambda i: (total[i], -i))
         if total[best] <= 0:
             return {0}
         low, i, path = density[best], best, {best}
         while i > 0:
-            i = self.parent[i]
+            i = self._block(i)
             path.add(i)
             low = min(low, density[i])
-        # the node of the largest sum in every subtree
+        # the block of the largest sum in every subtree
         top = list(range(n))
-        for i in range(n - 1, 0, -1):
-            p = self.parent[i]
+        for i in reversed(blocks[1:]):
+            p = self._block(i)
             if (total[top[i]], -top[i]) > (total[top[p]], -top[p]):
                 top[p] = top[i]
         # subtrees that hang on the path
-        beside = (i for i in range(1, n) if self.parent[i] in path and i not in path and self.parent[i] != best)
+        beside = (i for i in blocks[1:] if i not in path and (p := self._block(i)) in path and p != best)
         found = {top[i] for i in beside if density[i] >= low and density[i] > 0} | {best}
-        own = self._stands_for(best)
-        if self.tag[own] != "article":  # an article below that holds most of the text
-            inside = [False] * n
-            for i in range(n):
-                inside[i] = i == own or (i > 0 and inside[self.parent[i]])
-            below = [i for i in range(n) if inside[i] and self.tag[i] == "article" and not self.gone[i]]
-            most = max(below, key=lambda i: (self.chars[i], -i), default=own)
-            own = most if 2 * self.chars[most] >= self.chars[own] else own
-        # an article or main element that holds the best node is the text by itself
-        return {own} if self.tag[own] in _WHOLE else {self._stands_for(i) for i in found}
+        # short parts of an article that is mostly found belong to it
+        whole, i = best, best
+        while i > 0:
+            if self.tag[i] in ("article", "main") and 2 * sum(self.chars[x] for x in found if self._within(x, i)) >= self.chars[i]:
+                whole = i
+            i = self.parent[i]
+        return {x for x in found if not self._within(x, whole)} | {whole}
 
-    def _stands_for(self, node: int) -> int:
-        """The outermost article around a node, else the outermost main, else itself."""
-        last, up = {}, node
-        while up > 0:
-            last[self.tag[up]] = up
-            up = self.parent[up]
-        return last.get("article", last.get("main", node))
+    def _within(self, node: int, around: int) -> bool:
+        while node > around:
+            node = self.parent[node]
+        return node == around
 
     def text(self) -> str:
         chosen = self.content()
         inside = [False] * len(self.tag)
         for i in range(len(self.tag)):
-            inside[i] = not self.cut[i] and (i in chosen or (i > 0 and inside[self.parent[i]]))
-            if self.cut[i]:
-                inside[i] = False
+            inside[i] = not self.out[i] and (i in chosen or (i > 0 and inside[self.parent[i]]))
         blocks, now = [], []
 
         def flush() -> None:

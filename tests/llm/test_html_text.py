@@ -44,7 +44,6 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><
         ("<article><h1>Only a title</h1></article>", "Only a title"),
         ("<article></article>", ""),
         ("<main><article><p>%s</p><ol class=commentlist><li>Nice!</li></ol><div id=sideBar>s</div></article></main>" % LONG, LONG.strip()),
-        ("<main><h2>Teasers</h2><article><p>%s</p></article></main>" % LONG, LONG.strip()),
     ],
 )
 def test_articles(body, want):
@@ -70,6 +69,71 @@ def test_broken_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p a=it's>hello world</p><p>second it</p>", "hello world second it"),
+        ("<p a=\"it's\" b='say \"x\"' c = 'd>'>hello</p><p>it's</p>", "hello it's"),
+        ("<!--> <p>text after empty comment</p>", "text after empty comment"),
+        ("<!---><p>x</p><!-- - --!><p>y</p>", "x y"),
+        ("<div class=related><p>only block</p></div>", "only block"),
+        ('<div class="content has-sidebar"><h1>T</h1><p>%s</p></div><div class=sidebar>s</div>' % LONG, "T " + LONG.strip()),
+        ("<div class=comments><p>%s</p><p>%s</p></div><p>short</p>" % (LONG, LONG), "short"),
+    ],
+)
+def test_stray_quotes_comments_and_wrappers(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_a_misleading_article_loses():
+    links = "".join(f"<li><a href=/{i}>teaser {i}</a></li>" for i in range(30))
+    page = "<article><ul>%s</ul></article><div><p>%s</p><p>%s</p></div>" % (links, LONG * 2, LONG)
+    assert html_text.main_text(page) == (LONG * 3).strip()
+
+
+def plain_density(page):
+    """Densities of well-formed pages by the formula, over a tree of the standard library; name -> (density, sum)."""
+    import math
+    import xml.etree.ElementTree as E
+
+    root = E.fromstring(page)
+    chars = lambda e: sum(len(t.strip()) for t in e.itertext())
+    links = lambda e: sum(chars(x) for x in ([e] if e.tag == "a" else e.iter("a")))
+    share = links(root) / chars(root)
+
+    def density(e):
+        c, lc, t, lt = chars(e), links(e), max(sum(1 for _ in e.iter()) - 1, 1), max(sum(1 for _ in e.iter("a")) - (e.tag == "a"), 1)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        top = math.log(c / max(lc, 1) * t / lt + 1)
+        return c / t * (top / math.log(base) if base > math.e else top)
+
+    return {e.get("id"): (density(e), sum(density(x) for x in e if x.tag not in ("a", "b"))) for e in root.iter() if e.get("id")}
+
+
+def test_densities_equal_the_formula():
+    page = (
+        "<body id='0'><div id='1'><ul id='2'><li id='3'><a>some link</a></li><li id='4'><a>other</a> text</li></ul></div>"
+        "<div id='5'><h1 id='6'>Title</h1><p id='7'>first paragraph with <b>bold</b> words</p><p id='8'>second <a>link</a> here</p></div></body>"
+    )
+    tree = html_text._Tree(page)
+    density, total = tree.densities()
+    nodes = [i for i, t in enumerate(tree.tag) if t not in ("a", "b")]
+    want = plain_density(page)
+    assert len(nodes) == len(want)
+    for i, (d, s) in zip(nodes, (want[str(k)] for k in range(len(want)))):
+        assert density[i] == pytest.approx(d) and total[i] == pytest.approx(s)
+
+
+def test_densities_decide(monkeypatch):
+    page = "<div><p>%s</p><p>%s</p></div><div><ul><li><a href=/>link</a></li></ul></div>" % (LONG, LONG)
+    assert html_text.main_text(page) == (LONG * 2).strip()
+    real = html_text._Tree.densities
+    monkeypatch.setattr(html_text._Tree, "densities", lambda self: tuple([0.0] * len(x) for x in real(self)))
+    assert html_text.main_text(page) != (LONG * 2).strip()
+
+
 def test_table(spark):
     rows = [(1, None, "u", "x"), (2, "<p>" + "word " * 100_000 + "</p>", None, "y"), (None, "<p>a</p>", "u", "z"), (2, "<p>b</p>", "u", "z")]
     df = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
