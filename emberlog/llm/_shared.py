@@ -195,6 +195,9 @@ def least_of_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nd
 #: Edges that a node may have in one task before it is spread over several.
 HUB_EDGES = 1000
 _HUB_PARTS = 64
+#: Edges that a task reduces to stars at first, again while that halves them;
+#: what fits one task is solved there.
+TASK_EDGES = 1 << 19
 
 
 def _spread(e: DataFrame, total: int) -> DataFrame:
@@ -219,12 +222,12 @@ def _spread(e: DataFrame, total: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of the graph of ``edges(a, b)`` with long ids.
+    """Components of the graph of ``edges(a, b)`` with long ids, a written table.
 
-    Each round sends every edge to the partitions of both its ends; a
-    partition replaces the edges it holds by stars, every node joined to the
-    smallest node of its component there.  Smaller ids spread and paths halve
-    until nothing changes.  One shuffle a round; nothing is collected but a
+    Files are read together and reduced first.  Then each round sends every
+    edge to the partitions of both its ends; a partition replaces the edges it
+    holds by stars, every node joined to the smallest node of its component
+    there.  Smaller ids spread and paths halve until nothing changes.  One shuffle a round; nothing is collected but a
     count, a checksum and the few hubs.  Returns (id, component) for every
     node of an edge between two different ids, the component being its
     smallest id.
@@ -258,15 +261,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
 
     own = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b")
-    e = materialize(own.mapInArrow(lean(first), "a bigint, b bigint"))
-    sign = sign_of(e)
-    for _ in range(max_rounds):
+    e, total, tasks, settled = own, own.count(), 0, False
+    while not settled:
+        tasks, before = max(1, -(-total // TASK_EDGES)), total
+        e = materialize(e.coalesce(tasks).mapInArrow(lean(first), "a bigint, b bigint"))
+        total = e.count()
+        settled = tasks == 1 or 2 * total > before
+    sign, rounds = sign_of(e), 0
+    while tasks > 1:
         sent = _spread(e, sign[0]).repartition("node", "part")
         e = materialize(sent.mapInArrow(lean(stars), "a bigint, b bigint"))
-        before, sign = sign, sign_of(e)
+        before, sign, rounds = sign, sign_of(e), rounds + 1
         if sign == before or sign[0] == 0:
             break
-    else:
-        raise RuntimeError("connected components did not converge")
+        if rounds == max_rounds:
+            raise RuntimeError("connected components did not converge")
     both = e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")))
     return both.distinct()

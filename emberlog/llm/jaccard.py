@@ -553,7 +553,7 @@ def _chunked_components(members: DataFrame, t: Threshold, with_sets: bool) -> Da
     others = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.col("asking"))
     pair = F.least("chunk", "other").cast("bigint") * F.col("chunks") + F.greatest("chunk", "other")
     second = large.join(known, "cid").withColumn("other", F.explode(others)).where("other <> chunk")
-    met = solved(second.select(*cols, pair.alias("chunk"), "asks", "part", F.col("chunk").alias("side")))
+    met = materialize(solved(second.select(*cols, pair.alias("chunk"), "asks", "part", F.col("chunk").alias("side"))))
     return connected_components(edges.union(met))
 
 

@@ -7,9 +7,10 @@ from emberlog.llm import _shared
 from emberlog.storage import fresh_dir
 
 
-@pytest.mark.parametrize("hub", [2, 1000])
+@pytest.mark.parametrize("hub, task", [(2, 8), (1000, 8), (1000, 1 << 19)])
 @pytest.mark.parametrize("kind", ["path", "star", "random", "empty"])
-def test_components(spark, kind, hub, monkeypatch):
+def test_components(spark, kind, hub, task, monkeypatch):
+    monkeypatch.setattr(_shared, "TASK_EDGES", task)
     monkeypatch.setattr(_shared, "HUB_EDGES", hub)
     monkeypatch.setattr(_shared, "HEAVY_KEYS", 10_000)
     r = random.Random(1)
