@@ -106,11 +106,11 @@ WITH t AS (SELECT * FROM (VALUES """ + _license_templates() + r""") AS v(name, g
 u AS (
   SELECT doc_id, 1 AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS u FROM documents UNION ALL
   SELECT DISTINCT doc_id, 0, u FROM (
-    SELECT doc_id, unnest(list_append(regexp_split_to_array(text, '\n\s*\n'), text)) AS u FROM documents WHERE contains(text, chr(10)))),
+    SELECT doc_id, unnest(list_append(regexp_split_to_array(text, '\n[ \t\r\n*#/;%-]*\n|\*/'), text)) AS u FROM documents WHERE contains(text, chr(10)))),
 w AS (SELECT doc_id, line, regexp_extract_all(lower(u), '[\p{L}\p{N}]+') AS w FROM u),
 g AS (
   SELECT row_number() OVER () AS k, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM w WHERE len(w) BETWEEN 2 AND 3000),
+  FROM w WHERE len(w) >= 2),
 d AS (
   SELECT k, doc_id, line, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g JOIN t ON len(g) BETWEEN len(grams) * 0.6 AND len(grams) * 1.6),
 best AS (SELECT k, doc_id, line, max(dice) AS dice, arg_max(name, (dice, name)) AS name FROM d WHERE dice >= 0.8 GROUP BY ALL),
