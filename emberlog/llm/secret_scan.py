@@ -1,7 +1,9 @@
 """Secret scans: pattern candidates, false positives removed by a random forest (native).
 
-Candidates are long words with a run of key characters.  A random forest
-trained from labelled findings decides on their length, the transitions
+Candidates are all matches of the issuers' shapes, of values that stand behind
+a cue such as ``password=``, and of long runs of key characters, wherever in a
+word they stand and however many there are.  A random forest trained from
+labelled findings decides on their length, the transitions
 between kinds of characters, how much of them dictionary words cover, the path
 they come from and the words around them.
 """
@@ -16,12 +18,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from ._shared import SPACE
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MIN_CHARS = 16
 CONTEXT_WORDS = 3
+#: Characters beside a candidate in which its neighbouring words are sought.
+CONTEXT_CHARS = 80
+_BLOCK = 512
 THRESHOLD = 0.5
 #: Labelled findings that the forest is fitted on: never more than this.
 MAX_LABELLED = 20_000
@@ -35,7 +38,13 @@ RULES = (
     ("google-api-key", r"AIza[0-9A-Za-z_\-]{35}"),
     ("jwt", r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,}"),
 )
-GENERIC = r"[A-Za-z0-9_\-+/]{16,}={0,2}"
+SHAPE = "|".join(f"(?:{p})" for _, p in RULES)
+# Names before values that are secrets.
+CUES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
+ASSIGNED = rf"(?:(?<=[=:\"'])|(?<=[=:]\s))(?<=(?:(?i:{CUES}))[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"',;&<>]{{8,}}"
+# a run of key characters that does not reach into a known shape
+GENERIC = rf"(?<![A-Za-z0-9_\-+/])(?:(?!{SHAPE})[A-Za-z0-9_\-+/]){{{MIN_CHARS},}}={{0,2}}"
+CANDIDATE = f"{SHAPE}|{ASSIGNED}|{GENERIC}"
 # Common English words and parts of identifiers for the dictionary coverage.
 DICTIONARY = (
     "about after again all also and any are back because been before between both but can code come could data day default did does each even example "
@@ -51,44 +60,57 @@ PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|0123456789|
 
 FEATURES = (
     "n_chars", "transitions", "digits", "uppers", "lowers", "others", "distinct", "covered", "hex_only", "digits_only",
-    "known_shape", "placeholder", "test_path", "secret_near", "other_near", "assigned",
+    "known_shape", "placeholder", "test_path", "secret_near", "other_near", "assigned", "address",
 )
 
 
+def _starts(sizes: Column) -> Column:
+    """Running sums before each element of an array of numbers, in linear time.
+
+    Sums of blocks first; arrays that grow by one element stay short.
+    """
+    zero = F.lit(0).cast("long")
+    total = lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int"))
+    part = lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))
+    sums = F.transform(blocks, lambda b: total(part(b)))
+    start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("out"))
+
+    def inside(sums: Column, b: Column) -> Column:
+        grown = F.aggregate(part(b), start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out")))
+        # the sum before the block is taken once
+        return F.flatten(F.transform(F.array(total(F.slice(sums, F.lit(1), b))), lambda before: F.transform(grown["out"], lambda x: x + before)))
+
+    return F.flatten(F.flatten(F.transform(F.array(sums), lambda sums: F.transform(blocks, lambda b: inside(sums, b)))))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """id, rule, secret, start_char, end_char, before, after, path: one row per candidate."""
-    words = F.split(F.coalesce(text_col, F.lit("")), SPACE)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    split = docs.select(F.col(id_col), path.alias("path"), words.alias("__w"))
-    shape = "|".join(f"(?:{p})" for _, p in RULES)
-    wanted = lambda w: (F.char_length(w) >= MIN_CHARS) & w.rlike(f"{shape}|{GENERIC}") & w.rlike("[0-9]")
-    at = F.filter(F.sequence(F.lit(1), F.size("__w")), lambda i: wanted(F.element_at("__w", i)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # between[i] stands before found[i], the last piece behind all
+    cut = docs.select(
+        F.col(id_col), path.alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("__found"), F.split(text, CANDIDATE).alias("__between")
+    ).where(F.size("__found") > 0)
+    at = lambda col, i: F.coalesce(F.get(col, i), F.lit(""))
+    sizes = cut.withColumn("__sizes", F.transform("__found", lambda x, i: (F.char_length(x) + F.char_length(at(F.col("__between"), i))).cast("long")))
     hits = F.transform(
-        at,
-        lambda i: F.struct(
-            F.element_at("__w", i).alias("word"),
-            # one separator stands after each of the words before this one
-            F.when(i > 1, F.char_length(F.array_join(F.slice("__w", 1, i - 1), " ")) + 1).otherwise(0).alias("offset"),
-            F.array_join(F.slice("__w", F.greatest(i - CONTEXT_WORDS, F.lit(1)), F.least(i - 1, F.lit(CONTEXT_WORDS))), " ").alias("before"),
-            F.array_join(F.slice("__w", i + 1, CONTEXT_WORDS), " ").alias("after"),
+        "__found",
+        lambda x, i: F.struct(
+            x.alias("secret"), at(F.col("__between"), i).alias("lead"), F.get(F.col("__starts"), i).alias("start"),
+            F.when(i > 0, at(F.col("__found"), i - 1)).otherwise("").alias("last"), at(F.col("__between"), i + 1).alias("trail"), at(F.col("__found"), i + 1).alias("next"),
         ),
     )
-    found = split.select(id_col, "path", F.explode(hits).alias("h")).select(id_col, "path", "h.*")
-    # e-mail and web addresses are not keys
-    found = found.where(~F.col("word").rlike(r"@|^\W*(?:https?|ftp)://|^\W*www\."))
-    longest = F.expr("array_max(transform(regexp_extract_all(word, r'%s', 0), x -> struct(char_length(x) as n, x as x))).x" % GENERIC)
-    shaped = F.regexp_extract("word", shape, 0)
-    rule = reduce(lambda out, r: out.when(F.col("word").rlike(r[1]), r[0]), RULES, F.when(F.lit(False), "")).otherwise("generic")
-    return (
-        found.withColumn("secret", F.when(shaped != "", shaped).otherwise(longest))
-        .where("secret is not null")
-        .withColumn("__lead", F.instr("word", F.col("secret")) - 1)
-        .select(
-            id_col, rule.alias("rule"), "secret",
-            (F.col("offset") + F.col("__lead")).cast("long").alias("start_char"),
-            (F.col("offset") + F.col("__lead") + F.char_length("secret")).cast("long").alias("end_char"),
-            F.trim(F.concat_ws(" ", "before", F.expr("substring(word, 1, __lead)"))).alias("before"), "after", "path",
-        )
+    found = sizes.withColumn("__starts", _starts(F.col("__sizes"))).select(id_col, "path", F.explode(hits).alias("h")).select(id_col, "path", "h.*")
+    # a short piece goes on in the neighbouring candidate
+    left = F.right(F.concat("last", "lead"), F.lit(CONTEXT_CHARS))
+    right = F.left(F.concat("trail", "next"), F.lit(CONTEXT_CHARS))
+    rule = reduce(lambda out, r: out.when(F.col("secret").rlike(f"^(?:{r[1]})$"), r[0]), RULES, F.when(F.lit(False), "")).otherwise("generic")
+    start = (F.col("start") + F.char_length("lead")).cast("long")
+    return found.select(
+        id_col, rule.alias("rule"), "secret", start.alias("start_char"), (start + F.char_length("secret")).alias("end_char"),
+        F.regexp_extract(left, rf"(?:[^\s]+\s+){{0,{CONTEXT_WORDS}}}[^\s]*\s*$", 0).alias("before"),
+        F.regexp_extract(right, rf"^[^\s]*(?:\s+[^\s]+){{0,{CONTEXT_WORDS}}}", 0).alias("after"), "path",
     )
 
 
@@ -124,6 +146,7 @@ def features(found: DataFrame) -> DataFrame:
             "secret_near": flag(near.rlike(SECRET_WORDS)),
             "other_near": flag(near.rlike(OTHER_WORDS)),
             "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
+            "address": flag(F.col("before").rlike(r"(?:https?|ftp)://\S*$|www\.\S*$|@$") | F.col("after").rlike(r"^@")),
         }
     )
 
@@ -154,6 +177,25 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Dat
         else:
             chars, size = r.choice([(hexa, 18), (hexa, 32), (hexa, 40), (alnum, 24), (alnum, 40), (alnum + "+/", 40)])
             rows.append((pick(chars, size), prose(r.randrange(3)) + " " + assign(), prose(2), r.choice(paths), 1.0))
+        if r.random() < 0.35:  # shapes without digits, short values, keys in addresses
+            kind = r.randrange(4)
+            if kind == 0:
+                rows.append((pick(string.ascii_letters, r.randrange(12, 24)), prose(2) + " " + assign(), prose(2), r.choice(paths), 1.0))
+            elif kind == 1:
+                rows.append((pick(alnum + "!#%*?", r.randrange(8, 16)), prose(1) + " " + assign(), prose(2), r.choice(paths), 1.0))
+            elif kind == 2:
+                rows.append((r.choice(["ghp_" + pick(alnum, 36), "AKIA" + pick(upper, 16)]), prose(1) + " https://" + r.choice(["user:", "host.example/?token=", "x.example/a/"]), r.choice(["@host.example/x", "", "&a=b"]), r.choice(paths), 1.0))
+            else:
+                rows.append((r.choice(["ghp_" + pick(alnum, 36), "AKIA" + pick(upper, 16)]), "a=" + "AKIA" + pick(upper, 16) + ",b=", "", r.choice(paths), 1.0))
+        if r.random() < 0.8:  # long words, joined words, addresses
+            kind, syllable = r.randrange(4), lambda: r.choice("bcdfghlmnprstv") + r.choice("aeiou") + r.choice(["", "n", "r", "s", "t"])
+            if kind < 2:
+                word = "".join(syllable() for _ in range(r.randrange(6, 12)))
+                rows.append((r.choice([word, word.upper(), word.capitalize()]), prose(3) + " ", " " + prose(3), r.choice(paths), 0.0))
+            elif kind == 2:
+                rows.append((r.choice("-_/").join(r.choice(DICTIONARY) for _ in range(r.randrange(4, 8))), r.choice([prose(3) + " ", "https://www.site.example/"]), prose(3), r.choice(paths), 0.0))
+            else:
+                rows.append(("".join(syllable() for _ in range(5)), prose(2) + " " + r.choice(["the token: ", "secret: ", "password: "]), prose(3), r.choice(paths), 0.0))
         kind = r.randrange(7)
         if kind == 0:
             rows.append((pick(string.digits, r.choice([16, 16, 18, 20])), prose(3), prose(3), r.choice(paths), 0.0))
