@@ -43,7 +43,7 @@ SHAPE = "|".join(f"(?:{p})" for _, p in RULES)
 CUES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
 ASSIGNED = rf"(?:(?<=[=:\"'])|(?<=[=:]\s))(?<=(?:(?i:{CUES}))[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"',;&<>]{{8,}}"
 # a run of key characters that does not reach into a known shape
-GENERIC = rf"(?<![A-Za-z0-9_\-+/])(?:(?!{SHAPE})[A-Za-z0-9_\-+/]){{{MIN_CHARS},}}={{0,2}}"
+GENERIC = rf"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z0-9_\-+/]{{{MIN_CHARS}}})(?:(?!{SHAPE})[A-Za-z0-9_\-+/]){{{MIN_CHARS},}}={{0,2}}"
 CANDIDATE = f"{SHAPE}|{ASSIGNED}|{GENERIC}"
 # Common English words and parts of identifiers for the dictionary coverage.
 DICTIONARY = (
