@@ -12,8 +12,9 @@ from .functions.timekeys import iso
 from .operators import insights, retention, rollups, rules, search, suppression
 from .plans import requests
 from .schema import fold_process
-from .sinks import results
+from .sinks import results, tables
 from .sources import driver_tables, ingest
+from .storage import fresh_dir
 from .streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 UTC = timezone.utc
 LOW, HIGH = datetime(2024, 1, 10, tzinfo=UTC), datetime(2024, 1, 20, tzinfo=UTC)
-ALL_LOW, ALL_HIGH = datetime(2024, 1, 1, tzinfo=UTC), datetime(2030, 1, 1, tzinfo=UTC)
 NOW = datetime(2024, 1, 20, 12, 30, tzinfo=UTC)
 NOW_MICROS = int(NOW.timestamp()) * 1_000_000
 
@@ -110,10 +110,10 @@ def search_context_compat(spark, sf_dir):
 
 def _text_query(name: str, phrase: str, condition: str) -> None:
     def run(spark, sf_dir):
-        return _doc_rows(search.scan_and_search(driver_tables.documents(spark, sf_dir), ALL_LOW, ALL_HIGH, phrase, 100_000))
+        return _doc_rows(search.search_all(driver_tables.documents(spark, sf_dir), phrase))
 
     run.__name__ = name
-    query(_DOCS + f"SELECT id, moment, level, application FROM docs WHERE {condition} ORDER BY moment DESC, id LIMIT 100000")(run)
+    query(_DOCS + f"SELECT id, moment, level, application FROM docs WHERE {condition}")(run)
 
 
 _text_query("search_term", "license", "list_contains(tokens, 'license')")
@@ -142,6 +142,14 @@ def search_combined(spark, sf_dir):
     return _shown(search.search_logs(_events(spark, sf_dir), r))
 
 
+@query(ORACLE_SQL["search_combined"])
+def stored_search(spark, sf_dir):
+    path = fresh_dir(spark, "stored")
+    tables.write_logs(_events(spark, sf_dir), path)
+    r = search.SearchRequest(LOW, HIGH, ["Error", "FatalError"], {"Application": "app-1"}, "user AND NOT 13", 100)
+    return _shown(search.search_logs(tables.read_logs(spark, path), r))
+
+
 @query(_LOGS + f"SELECT {_COLS} FROM (SELECT * FROM logs WHERE {_RANGE} AND lower(application) = 'app-3' AND level = 'Warning' ORDER BY ts DESC, id LIMIT 50) ORDER BY ts")
 def search_tool_asc(spark, sf_dir):
     return _shown(requests.tool_request(_events(spark, sf_dir), "2024-01-10T00:00:00+00:00", "2024-01-20T00:00:00Z", ["warn"], application=" App-3 ", take=50))
@@ -226,6 +234,11 @@ def insights_values(spark, sf_dir):
     return insights.lookup(values, "K", "7").select("value", F.unix_micros("first_at").alias("first_at"))
 
 
+@query(_VALUES + "SELECT DISTINCT key FROM f")
+def insight_keys(spark, sf_dir):
+    return insights.keys(insights.distinct_values(_events(spark, sf_dir), ["Application", "K", "absent"]))
+
+
 # ------------------------------------------------------------------ rules
 
 RULES = [
@@ -305,6 +318,14 @@ def retention_partitions(spark, sf_dir):
     return retention.expired_partitions(_events(spark, sf_dir), NOW, RETENTION)
 
 
+@query(_LOGS + f"SELECT level, hour_key, count(*) AS n_rows FROM logs WHERE NOT ({_GONE}) GROUP BY ALL")
+def stored_retention(spark, sf_dir):
+    path, logs = fresh_dir(spark, "stored"), _events(spark, sf_dir)
+    tables.write_logs(logs, path)
+    tables.drop_partitions(spark, path, retention.expired_partitions(logs, NOW, RETENTION))
+    return tables.read_logs(spark, path).groupBy("level", "hour_key").agg(F.count("*").alias("n_rows"))
+
+
 # ------------------------------------------------------------------ encodings and ingest
 
 
@@ -410,9 +431,25 @@ def process_folding(spark, sf_dir):
 
 @query(ORACLE_SQL["hourly_stats"])
 def stream_hourly_stats(spark, sf_dir):
-    return pipeline.hourly_once(spark, sf_dir)
+    return pipeline.ingest_once(spark, sf_dir).hourly(spark)
 
 
 @query(_SUPPRESS + "SELECT id, rule, moment, suppressed FROM m WHERE rule IS NOT NULL")
 def stream_suppression(spark, sf_dir):
-    return pipeline.suppression_once(spark, sf_dir, SINGLE_RULES).withColumnRenamed("at", "moment")
+    out = pipeline.ingest_once(spark, sf_dir, single_rules=SINGLE_RULES)
+    return out.table(spark, "verdicts").withColumnRenamed("at", "moment")
+
+
+@query(
+    _LOGS + ", " + _RULE_VALUES
+    + _SUPPRESS.removeprefix(_LOGS).replace("AS rule FROM logs)", f"AS rule FROM logs WHERE NOT EXISTS (SELECT 1 FROM rules WHERE {_STRICT}))")
+    + f"SELECT {_COLS} FROM m WHERE NOT suppressed"
+)
+def stream_logs(spark, sf_dir):
+    return _shown(pipeline.ingest_once(spark, sf_dir, RULES, SINGLE_RULES, NOW_MICROS).table(spark, "logs"))
+
+
+@query(ORACLE_SQL["minute_alerts"] + """
+  AND date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE FROM logs WHERE level IN ('FatalError', 'Error', 'Warning'))""")
+def stream_minute_windows(spark, sf_dir):
+    return pipeline.minutes_once(spark, sf_dir).withColumn("minute", F.unix_micros("minute"))

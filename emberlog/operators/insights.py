@@ -23,3 +23,8 @@ def distinct_values(logs: DataFrame, keys: list[str]) -> DataFrame:
 def lookup(values: DataFrame, key: str, phrase: str, rows: int = LOOKUP_ROWS) -> DataFrame:
     """Values of a key that contain the phrase (case-sensitive), first seen first."""
     return values.where((F.col("key") == key) & F.col("value").contains(phrase)).orderBy("first_at", "first_id").limit(rows)
+
+
+def keys(values: DataFrame) -> DataFrame:
+    """The keys that have values, each once."""
+    return values.select("key").distinct()

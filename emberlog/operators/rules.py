@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.levels import parse_level
 
 ANY = "*"
+#: Rules that are broadcast at once.
+RULES_IN_A_BLOCK = 20_000
 
 
 @dataclass(frozen=True)
@@ -58,17 +60,26 @@ def filter_ignored(logs: DataFrame, rules: list[IgnoreRule], now: int, strict: b
 
 def filter_ignored_table(logs: DataFrame, rules: DataFrame, now: int) -> DataFrame:
     """As :func:`filter_ignored` for many rules in a table (level, application,
-    marker, expires_at): an anti-join that Spark broadcasts if it is small."""
+    marker, expires_at): anti-joins with broadcast blocks of rules.
+
+    A level is no key to shuffle by, as there are five.  Rules are counted
+    first; beyond ``RULES_IN_A_BLOCK`` they are dealt to blocks by hash, and
+    rows pass one block after the other.
+    """
     live = rules.where((F.col("expires_at").isNull()) | (F.col("expires_at") > now)).select(
         F.col("level").alias("r_level"), F.col("application").alias("r_app"), F.col("marker").alias("r_marker")
-    )
+    ).distinct()
+    blocks = max(1, -(-live.count() // RULES_IN_A_BLOCK))
     process = F.coalesce(F.col("context").getItem("Process"), F.lit(""))
     hit = (
         (F.col("level") == F.col("r_level"))
         & ((F.col("r_app") == ANY) | (F.col("application") == F.col("r_app")))
         & ((F.col("r_marker") == ANY) | process.contains(F.col("r_marker")) | F.coalesce("message", F.lit("")).contains(F.col("r_marker")))
     )
-    return logs.join(live, hit, "left_anti")
+    for i in range(blocks):
+        block = live.where(F.pmod(F.xxhash64("r_level", "r_app", "r_marker"), F.lit(blocks)) == i) if blocks > 1 else live
+        logs = logs.join(F.broadcast(block), hit, "left_anti")
+    return logs
 
 
 def current_rules(changes: DataFrame, now: int) -> DataFrame:

@@ -51,6 +51,11 @@ def scan_and_search(logs: DataFrame, low: datetime, high: datetime, phrase: str,
     return search_logs(logs, SearchRequest(low, high, phrase=phrase, take=take))
 
 
+def search_all(logs: DataFrame, phrase: str, strict_query: bool = True) -> DataFrame:
+    """Every row that the phrase finds, of any time, in no order."""
+    return logs.where(all_of(matches(phrase, fields(), strict_query)))
+
+
 def search_tool(
     logs: DataFrame, low: datetime, high: datetime, application: str | None = None, version: str | None = None,
     phrase: str | None = None, levels: list[str] | None = None, take: int | None = None,

@@ -56,19 +56,25 @@ def mark_suppressed(logs: DataFrame, rules: list[SingleEventRule]) -> DataFrame:
 
     A row is suppressed if, itself included, at most ``skip_amount`` rows of
     its rule came in the last ``minutes_to_wait`` (by event time, then id;
-    suppressed rows count).  A rule may match a third of all rows, so time is
-    cut into slices no shorter than the longest window; every row is sent to
-    its own slice, and to the next as context if a window there can reach it.
+    suppressed rows count).
     """
-    tagged = logs.withColumn("__rule", first_rule(rules))
-    free = tagged.where("__rule IS NULL").withColumn("suppressed", F.lit(False)).drop("__rule")
+    return decide(logs.withColumn("__rule", first_rule(rules)), rules).drop("__rule")
+
+
+def decide(tagged: DataFrame, rules: list[SingleEventRule]) -> DataFrame:
+    """:func:`mark_suppressed` for rows that hold the number of their rule in ``__rule``.
+
+    A rule may match a third of all rows, so its time is cut into slices of
+    twice its own window; every row is sent to its own slice, and to the next
+    as context if a window there can reach it.
+    """
+    free = tagged.where("__rule IS NULL").withColumn("suppressed", F.lit(False))
     if not rules:
         return free
-    longest = max(1, max(r.minutes_to_wait for r in rules)) * _MINUTE
-    slice_ = max(longest, 60 * _MINUTE)
     at = F.unix_micros("timestamp")
-    own = F.floor(at / slice_)
-    reach = F.floor((at + longest) / slice_)
+    wait = _by_rule(rules, lambda r: max(1, r.minutes_to_wait) * _MINUTE)
+    own = F.floor(at / (2 * wait))
+    reach = F.floor((at + wait) / (2 * wait))
     sliced = (
         tagged.where("__rule IS NOT NULL")
         .withColumns({"__at": at, "__own": own, "__slice": F.explode(F.sequence(own, reach))})

@@ -23,14 +23,17 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_partitions(spark: SparkSession, path: str, expired: DataFrame) -> int:
-    """Deletes the folders of ``expired`` (level, hour_key) partitions of a stored table.
+    """Deletes the folders of ``expired`` (level, hour_key) partitions of a stored
+    table, in every micro-batch if a stream wrote it.
 
-    Returns how many were there.  Their number is bounded by hours times levels.
+    Returns how many were there.  Keys are bounded by hours times levels.
     """
     jvm, dropped = spark._jvm, 0
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for level, key in expired.select("level", "hour_key").distinct().collect():
-        dropped += fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/level={level}/hour_key={key}"), True)
+        for under in (path, f"{path}/batch=*"):
+            for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{under}/level={level}/hour_key={key}")) or ():
+                dropped += fs.delete(found.getPath(), True)
     return dropped
 
 

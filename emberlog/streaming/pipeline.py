@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.insights import distinct_values
 from ..operators.rollups import hourly, merge_hourly, minute_counts
-from ..operators.rules import IgnoreRule, filter_ignored
-from ..operators.suppression import SingleEventRule
+from ..operators.rules import IgnoreRule, IgnoreRuleStore, filter_ignored
+from ..operators.suppression import SingleEventRule, SingleEventRuleStore
+from ..sinks.tables import read_logs, write_logs
 from ..sources.driver_tables import EVENTS_SCHEMA, events_as_items
 from ..schema import log_rows
 from ..storage import fresh_dir
-from .suppress import suppression_verdicts, use_rocksdb
+from .suppress import STATE_SCHEMA, judged, next_state, verdicts
 
 FLUSH_INTERVAL = "500 milliseconds"
 
@@ -36,60 +40,85 @@ def minute_windows(logs: DataFrame, late: str = "1 minute") -> DataFrame:
     )
 
 
+def clock() -> int:
+    """Now, in microseconds."""
+    return time.time_ns() // 1000
+
+
 class Fanout:
-    """Writes every micro-batch to the log table and the partial rollups.
+    """Takes every micro-batch through ignore rules and suppression, and writes
+    what stays to the log table (by level and hour) and the partial rollups.
 
     Each batch has its own folder under every output, so a batch that runs
-    again replaces its own rows: the tables hold every event once.
+    again replaces its own rows: the tables hold every event once.  Stores are
+    asked for their rules, and ``now`` for the time, at every batch, so rules
+    expire, and are replaced, while the stream runs.
     """
 
-    def __init__(self, path: str, rules: list[IgnoreRule], insight_keys: list[str], now: int):
-        self.path, self.rules, self.keys, self.now = path, rules, insight_keys, now
+    def __init__(
+        self, path: str, rules: list[IgnoreRule] | IgnoreRuleStore, insight_keys: list[str], now: int | Callable[[], int] = clock,
+        single_rules: list[SingleEventRule] | SingleEventRuleStore = (),
+    ):
+        self.path, self.rules, self.keys, self.now, self.single_rules = path, rules, insight_keys, now, single_rules
+
+    def _state_before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """State after the batch before; none if that had no rules.  Older states go."""
+        jvm = spark._jvm
+        before, older = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/batch={batch_id - n}") for n in (1, 2))
+        fs = before.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(older, True)
+        return spark.read.schema(STATE_SCHEMA).parquet(before.toString()) if fs.exists(before) else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = filter_ignored(batch, self.rules, self.now)
-        rows.persist()
+        now = self.now() if callable(self.now) else self.now
+        rules = self.rules.live(now) if isinstance(self.rules, IgnoreRuleStore) else self.rules
+        single = list(self.single_rules.rules if isinstance(self.single_rules, SingleEventRuleStore) else self.single_rules)
+        state = self._state_before(batch.sparkSession, batch_id) if single else None
+        all_rows = judged(filter_ignored(batch, rules, now), single, state)
+        all_rows.persist()
         try:
-            for name, df in (
-                ("logs", rows),
-                ("hourly", hourly(rows)),
-                ("minutes", minute_counts(rows)),
-                ("insights", distinct_values(rows, self.keys)),
-            ):
+            rows = all_rows.where("NOT __old AND NOT suppressed").select(*batch.columns)
+            write_logs(rows, f"{self.path}/logs/batch={batch_id}", "overwrite")
+            outputs = {"hourly": hourly(rows), "minutes": minute_counts(rows), "insights": distinct_values(rows, self.keys)}
+            if single:
+                outputs |= {"verdicts": verdicts(all_rows), "state": next_state(all_rows, single)}
+            for name, df in outputs.items():
                 df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
         finally:
-            rows.unpersist()
+            all_rows.unpersist()
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}").drop("batch")
+        path = f"{self.path}/{name}"
+        return (read_logs(spark, path) if name == "logs" else spark.read.parquet(path)).drop("batch")
 
     def hourly(self, spark: SparkSession) -> DataFrame:
         return merge_hourly(self.table(spark, "hourly"))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, rules: list[IgnoreRule] = (), insight_keys: list[str] = (), now: int = 0, available_now: bool = False):
+def ingest(
+    stream: DataFrame, path: str, checkpoint: str, rules: list[IgnoreRule] | IgnoreRuleStore = (), insight_keys: list[str] = (),
+    now: int | Callable[[], int] = clock, available_now: bool = False, single_rules: list[SingleEventRule] | SingleEventRuleStore = (),
+):
     """(query, outputs): a running ingest of ``stream``."""
-    out = Fanout(path, list(rules), list(insight_keys), now)
+    out = Fanout(path, rules, list(insight_keys), now, single_rules)
     trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
     return stream.writeStream.foreachBatch(out).option("checkpointLocation", checkpoint).trigger(**trigger).start(), out
 
 
-def hourly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly rollup of all events at hand, by way of the stream."""
+def ingest_once(spark: SparkSession, sf_dir: str, rules: list[IgnoreRule] = (), single_rules: list[SingleEventRule] = (), now: int = 0) -> Fanout:
+    """Outputs of all events at hand, by way of the stream."""
     base = fresh_dir(spark, "stream")
-    query, out = ingest(events_stream(spark, sf_dir), f"{base}/out", f"{base}/checkpoint", available_now=True)
+    query, out = ingest(events_stream(spark, sf_dir), f"{base}/out", f"{base}/checkpoint", rules, now=now, available_now=True, single_rules=single_rules)
     query.awaitTermination()
-    return out.hourly(spark)
+    return out
 
 
-def suppression_once(spark: SparkSession, sf_dir: str, rules: list[SingleEventRule]) -> DataFrame:
-    """Suppression verdicts of all events at hand, by way of the stream."""
-    base = fresh_dir(spark, "suppress")
-    use_rocksdb(spark)
+def minutes_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished minutes with errors of all events at hand, by way of the stream."""
+    base = fresh_dir(spark, "minutes")
     query = (
-        suppression_verdicts(events_stream(spark, sf_dir), rules)
-        .writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode("append").trigger(availableNow=True).start()
+        minute_windows(events_stream(spark, sf_dir)).writeStream.format("parquet").option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema("id string, rule int, at bigint, suppressed boolean").parquet(f"{base}/out")
+    return spark.read.schema("minute timestamp, fatal_errors bigint, errors bigint, warnings bigint").parquet(f"{base}/out")

@@ -1,60 +1,50 @@
-"""Stateful single-event suppression on a stream."""
+"""Single-event suppression in micro-batches, with the decisions of the batch operator."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, Window, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from ..operators.suppression import SingleEventRule, decide, first_rule
 
-from ..operators.suppression import SingleEventRule, first_rule
+STATE_SCHEMA = "id string, timestamp timestamp, rule string"
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_MINUTE = 60_000_000
-NO_RULE = -1
 
+def rule_key(rule: SingleEventRule) -> str:
+    """The whole definition: a rule that is replaced by another finds no state."""
+    return repr(rule)
 
-class _Suppressor(StatefulProcessor):
-    """State of a rule: the times of its last ``skip_amount`` + 1 rows in the window."""
 
-    def __init__(self, limits: list[tuple[int, int]]):
-        self.limits = limits
+def judged(batch: DataFrame, rules: list[SingleEventRule], state: DataFrame | None) -> DataFrame:
+    """Rows of ``batch`` and, with ``__old``, of ``state``, with ``__rule`` and ``suppressed``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "times array<bigint>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule = int(key[0])
-        skip, wait = self.limits[rule]
-        kept = list(self.times.get()[0]) if self.times.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])
-        out = []
-        for at in batch["at"]:
-            kept = [t for t in kept if t >= at - wait] + [int(at)]
-            out.append(len(kept) <= skip)
-            kept = kept[-(skip + 1) :]
-        self.times.update((kept,))
-        yield pd.DataFrame({"id": batch["id"].to_numpy(), "rule": rule, "at": batch["at"].to_numpy(), "suppressed": out})
-
-    def close(self) -> None:
-        pass
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    ``state`` holds the newest rows of each rule before this batch.  With
+    batches that come in time order the verdicts are those of the batch operator.
+    """
+    tagged = batch.withColumns({"__rule": first_rule(rules), "__old": F.lit(False)})
+    if state is not None and rules:
+        number = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (rule_key(r), i)])
+        old = state.select("id", "timestamp", number.getItem(F.col("rule")).alias("__rule"), F.lit(True).alias("__old"))
+        tagged = tagged.unionByName(old.where("__rule IS NOT NULL"), allowMissingColumns=True)
+    return decide(tagged, rules)
 
 
-def suppression_verdicts(logs: DataFrame, rules: list[SingleEventRule]) -> DataFrame:
-    """id, rule, at (micros), suppressed of the rows of a stream that a rule matches.
+def next_state(rows: DataFrame, rules: list[SingleEventRule]) -> DataFrame:
+    """The newest ``skip_amount`` + 1 judged rows of each rule; more decide nothing.
 
-    Rows of a micro-batch are taken in time order; with batches arriving in
-    time order the verdicts are those of the batch operator.
+    The limit by number is taken in every partition before rows move.
     """
-    tagged = logs.withColumn("rule", first_rule(rules)).where("rule IS NOT NULL").select("id", "rule", F.unix_micros("timestamp").alias("at"))
-    return tagged.groupBy("rule").transformWithStateInPandas(
-        statefulProcessor=_Suppressor([(r.skip_amount, r.minutes_to_wait * _MINUTE) for r in rules]),
-        outputStructType="id string, rule int, at bigint, suppressed boolean",
-        outputMode="append",
-        timeMode="none",
+    keys = F.array(*[F.lit(rule_key(r)) for r in rules])
+    amounts = F.array(*[F.lit(r.skip_amount + 1) for r in rules])
+    last = Window.partitionBy("__rule").orderBy(F.col("timestamp").desc(), F.col("id").desc())
+    return (
+        rows.where("__rule IS NOT NULL").select("id", "timestamp", "__rule")
+        .withColumn("__n", F.row_number().over(last))
+        .where(F.col("__n") <= max(r.skip_amount for r in rules) + 1)
+        .where(F.col("__n") <= amounts[F.col("__rule")])
+        .select("id", "timestamp", keys[F.col("__rule")].alias("rule"))
     )
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """id, rule, at (micros), suppressed of the batch's rows that a rule matches."""
+    return rows.where("__rule IS NOT NULL AND NOT __old").select("id", F.col("__rule").alias("rule"), F.unix_micros("timestamp").alias("at"), "suppressed")

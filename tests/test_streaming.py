@@ -2,11 +2,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import rollups, suppression
+from emberlog.operators import rollups, rules, suppression
 from emberlog.schema import LOG_SCHEMA
+from emberlog.sinks import tables
 from emberlog.sources import driver_tables
 from emberlog.streaming import pipeline
-from emberlog.streaming.suppress import suppression_verdicts, use_rocksdb
 
 
 @pytest.fixture()
@@ -40,15 +40,52 @@ def test_suppression_in_three_batches_equals_batch(spark, parts):
     folder, logs = parts
     R = suppression.SingleEventRule
     rls = [R("e", ("Error",), "error", (), 2, 600), R("w", ("Warning", "Info"), "", (("Application", "App-1"),), 1, 300)]
-    use_rocksdb(spark)
-    q = (
-        suppression_verdicts(stream(spark, folder), rls).writeStream.format("memory").queryName("verdicts").outputMode("append")
-        .option("checkpointLocation", f"{folder}/cps").trigger(availableNow=True).start()
-    )
+    q, out = pipeline.ingest(stream(spark, folder), f"{folder}/out", f"{folder}/cps", available_now=True, single_rules=rls)
     q.awaitTermination()
-    got = {r.id: r.suppressed for r in spark.table("verdicts").collect()}
+    got = {r.id: r.suppressed for r in out.table(spark, "verdicts").collect()}
     want = {r.id: r.suppressed for r in suppression.mark_suppressed(logs, rls).collect()}
     assert got == {k: want[k] for k in got} and len(got) > 100
+    assert {r.id for r in out.table(spark, "logs").collect()} == {k for k, gone in want.items() if not gone}
+    assert len(list((folder / "out" / "state").iterdir())) == 2  # what a batch that runs again needs
+
+
+def test_replaced_rule_has_no_state(spark, parts):
+    folder, logs = parts
+    rule = suppression.SingleEventRule("a", ("Error",), "", (), 1, 60)
+    store = suppression.SingleEventRuleStore()
+    store.add(rule)
+    out = pipeline.Fanout(str(folder / "out"), [], [], 0, store)
+    row = spark.createDataFrame(logs.where("level = 'Error'").limit(1).collect(), LOG_SCHEMA)
+    later = row.selectExpr("'later' AS id", "timestamp + INTERVAL 1 MINUTE AS timestamp", *LOG_SCHEMA.names[2:])
+    out(row, 0)
+    out(later, 1)
+    assert [r.id for r in out.table(spark, "logs").collect()] == ["later"]  # the second in the window
+    store.add(suppression.SingleEventRule("a", ("Error",), "", (), 1, 61))
+    out(later, 1)
+    assert out.table(spark, "logs").count() == 0  # the first of the new rule
+
+
+def test_rules_expire_while_a_stream_runs(spark, parts):
+    folder, logs = parts
+    store, now = rules.IgnoreRuleStore(), iter([10, 20])
+    store.upsert(rules.IgnoreRule("Error", "*", "*", 15))
+    out = pipeline.Fanout(str(folder / "out"), store, [], lambda: next(now))
+    out(logs, 0)
+    without = out.table(spark, "logs").count()
+    out(logs, 1)
+    errors = logs.where("level = 'Error'").count()
+    assert errors > 0 and without == logs.count() - errors
+    assert out.table(spark, "logs").count() == without + logs.count() and store.rules == []
+
+
+def test_partitions_of_stream_tables_can_be_dropped(spark, parts):
+    folder, logs = parts
+    out = pipeline.Fanout(str(folder / "out"), [], [], 0)
+    out(logs, 0)
+    out(logs, 1)
+    gone = logs.where("level = 'Debug'").select("level", "hour_key").distinct()
+    assert tables.drop_partitions(spark, str(folder / "out" / "logs"), gone) == 2 * gone.count()
+    assert out.table(spark, "logs").count() == 2 * logs.where("level <> 'Debug'").count()
 
 
 def test_minute_windows_give_finished_minutes(spark, parts):
