@@ -431,12 +431,12 @@ def process_folding(spark, sf_dir):
 
 @query(ORACLE_SQL["hourly_stats"])
 def stream_hourly_stats(spark, sf_dir):
-    return pipeline.ingest_once(spark, sf_dir).hourly(spark)
+    return pipeline.ingest_once(spark, sf_dir, "hourly").hourly(spark)
 
 
 @query(_SUPPRESS + "SELECT id, rule, moment, suppressed FROM m WHERE rule IS NOT NULL")
 def stream_suppression(spark, sf_dir):
-    out = pipeline.ingest_once(spark, sf_dir, single_rules=SINGLE_RULES)
+    out = pipeline.ingest_once(spark, sf_dir, "verdicts", single_rules=SINGLE_RULES)
     return out.table(spark, "verdicts").withColumnRenamed("at", "moment")
 
 
@@ -446,7 +446,7 @@ def stream_suppression(spark, sf_dir):
     + f"SELECT {_COLS} FROM m WHERE NOT suppressed"
 )
 def stream_logs(spark, sf_dir):
-    return _shown(pipeline.ingest_once(spark, sf_dir, RULES, SINGLE_RULES, NOW_MICROS).table(spark, "logs"))
+    return _shown(pipeline.ingest_once(spark, sf_dir, "logs", RULES, SINGLE_RULES, NOW_MICROS).table(spark, "logs"))
 
 
 @query(ORACLE_SQL["minute_alerts"] + """

@@ -18,6 +18,8 @@ from ..storage import fresh_dir
 from .suppress import STATE_SCHEMA, judged, next_state, verdicts
 
 FLUSH_INTERVAL = "500 milliseconds"
+#: What a stream writes; rules with state also keep their "state".
+OUTPUTS = ("logs", "hourly", "minutes", "insights", "verdicts")
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +59,9 @@ class Fanout:
 
     def __init__(
         self, path: str, rules: list[IgnoreRule] | IgnoreRuleStore, insight_keys: list[str], now: int | Callable[[], int] = clock,
-        single_rules: list[SingleEventRule] | SingleEventRuleStore = (),
+        single_rules: list[SingleEventRule] | SingleEventRuleStore = (), outputs: tuple[str, ...] = OUTPUTS,
     ):
-        self.path, self.rules, self.keys, self.now, self.single_rules = path, rules, insight_keys, now, single_rules
+        self.path, self.rules, self.keys, self.now, self.single_rules, self.outputs = path, rules, insight_keys, now, single_rules, outputs
 
     def _state_before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         """State after the batch before; none if that had no rules.  Older states go."""
@@ -78,12 +80,13 @@ class Fanout:
         all_rows.persist()
         try:
             rows = all_rows.where("NOT __old AND NOT suppressed").select(*batch.columns)
-            write_logs(rows, f"{self.path}/logs/batch={batch_id}", "overwrite")
+            if "logs" in self.outputs:
+                write_logs(rows, f"{self.path}/logs/batch={batch_id}", "overwrite")
             outputs = {"hourly": hourly(rows), "minutes": minute_counts(rows), "insights": distinct_values(rows, self.keys)}
             if single:
                 outputs |= {"verdicts": verdicts(all_rows), "state": next_state(all_rows, single)}
-            for name, df in outputs.items():
-                df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+            for name in outputs.keys() & {*self.outputs, "state"}:
+                outputs[name].write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
         finally:
             all_rows.unpersist()
 
@@ -98,17 +101,18 @@ class Fanout:
 def ingest(
     stream: DataFrame, path: str, checkpoint: str, rules: list[IgnoreRule] | IgnoreRuleStore = (), insight_keys: list[str] = (),
     now: int | Callable[[], int] = clock, available_now: bool = False, single_rules: list[SingleEventRule] | SingleEventRuleStore = (),
+    outputs: tuple[str, ...] = OUTPUTS,
 ):
     """(query, outputs): a running ingest of ``stream``."""
-    out = Fanout(path, rules, list(insight_keys), now, single_rules)
+    out = Fanout(path, rules, list(insight_keys), now, single_rules, outputs)
     trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
     return stream.writeStream.foreachBatch(out).option("checkpointLocation", checkpoint).trigger(**trigger).start(), out
 
 
-def ingest_once(spark: SparkSession, sf_dir: str, rules: list[IgnoreRule] = (), single_rules: list[SingleEventRule] = (), now: int = 0) -> Fanout:
-    """Outputs of all events at hand, by way of the stream."""
+def ingest_once(spark: SparkSession, sf_dir: str, output: str, rules: list[IgnoreRule] = (), single_rules: list[SingleEventRule] = (), now: int = 0) -> Fanout:
+    """One output of all events at hand, by way of the stream."""
     base = fresh_dir(spark, "stream")
-    query, out = ingest(events_stream(spark, sf_dir), f"{base}/out", f"{base}/checkpoint", rules, now=now, available_now=True, single_rules=single_rules)
+    query, out = ingest(events_stream(spark, sf_dir), f"{base}/out", f"{base}/checkpoint", rules, now=now, available_now=True, single_rules=single_rules, outputs=(output,))
     query.awaitTermination()
     return out
 
