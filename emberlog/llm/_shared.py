@@ -51,8 +51,9 @@ def packed(docs: DataFrame, **named: str | Column) -> DataFrame:
     return docs.select(row, *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in named.items()])
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, by the values of ``by`` if
+    given, and read it back.
 
     Cuts the lineage; a lost executor costs a re-read, not a recomputation.
     Batches for Python are small meanwhile, so that what a JVM holds beside
@@ -63,7 +64,7 @@ def materialize(df: DataFrame) -> DataFrame:
     usual = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(int(usual), BATCH_ROWS)))
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
@@ -130,8 +131,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 HEAVY_KEYS = 256
 
 
-def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row per key of ``groups``.
+def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of ``rows``, inner or left, with one row per key of ``groups``.
 
     ``size`` counts the rows of a key, ``total`` all rows.  The few heavy keys
     are broadcast, at most ``HEAVY_KEYS`` rows, so that their rows stay where
@@ -141,7 +142,7 @@ def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
     heavy = F.broadcast(groups.where(F.col(size) > limit))
     light = groups.where(F.col(size) <= limit)
     rest = rows.join(F.broadcast(groups.where(F.col(size) > limit).select(*keys)), keys, "left_anti")
-    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys, how))
 
 
 def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", most: int = 10_000, salts: int = 64) -> DataFrame:

@@ -1,17 +1,22 @@
 """Exact duplicate removal behind a two-pass Bloom filter (native).
 
 Pass one counts, for two hash functions, how many rows fall on each position
-of a filter of bounded size and keeps the positions met at least twice as a
-bitmap.  Pass two tests every row: a row with a position that no other row
-has is unique for certain and passes straight through.  Only the others
-shuffle, to be grouped by the SHA-256 of the normalised text, so false
-positives cost a little work and never change the result.
+of a filter and keeps the positions met at least twice as a bitmap.  Pass two
+tests every row: a row with a position that no other row has is unique for
+certain and passes straight through.  Only the others shuffle, to be grouped
+by the SHA-256 of the normalised text, so false positives cost a little work
+and never change the result.
+
+The filter has 16 bits a row at any number of rows.  What is broadcast at once
+is bounded: beyond that, hashes are dealt to ranges, each with a filter of its
+own, and rows without their texts are stored by range and tested there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..storage import fresh_dir
 from ._shared import BITMAP_BITS, BITMAP_ROW, SPACE, bit_is_set, bitmap_size, join_heavy, materialize, packed
 
 BITS_PER_ROW = 16
@@ -47,7 +52,17 @@ def repeated_bitmap(signed: DataFrame, bits: int) -> DataFrame:
         .where("n > 1")
         .select((F.col("pos") % bits).alias("pos"), (F.col("pos") >= bits).alias("second"))
     )
-    return twice.groupBy(
+    return _rows_of_bits(twice)
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> DataFrame:
+    """Bitmap rows of the positions of all ``hashes``."""
+    p, q = (F.struct(x.alias("pos"), F.lit(k).alias("second")) for k, x in zip((False, True), _positions(bits)))
+    return _rows_of_bits(hashes.select(F.inline(F.array(p, q))))
+
+
+def _rows_of_bits(positions: DataFrame) -> DataFrame:
+    return positions.groupBy(
         "second", F.expr(f"pos div {BITMAP_ROW}").alias("__row")
     ).agg(F.bitmap_construct_agg(F.col("pos") % BITMAP_ROW).alias("__map"))
 
@@ -71,6 +86,30 @@ def possibly_repeated(signed: DataFrame, bitmap: DataFrame, bits: int) -> DataFr
     )
 
 
+def tested_rows(signed: DataFrame, total: int, max_bits: int) -> DataFrame:
+    """``signed``, a written table of ``total`` rows, with ``__maybe``.
+
+    A filter has at most ``max_bits`` bits for each of its two functions.  With
+    more rows than that serves, there are as many ranges of hashes as needed:
+    equal hashes are in one range, each is read once and has two jobs.
+    """
+    ranges = max(1, -(-total * BITS_PER_ROW // max_bits))
+    bits = bitmap_size(-(-total // ranges), BITS_PER_ROW, max_bits)
+
+    def tested(rows: DataFrame) -> DataFrame:
+        return possibly_repeated(rows, materialize(repeated_bitmap(rows, bits)), bits)
+
+    if ranges == 1:
+        return tested(signed)
+    spark, path = signed.sparkSession, fresh_dir(signed.sparkSession, "tested")
+    at = F.pmod(F.xxhash64("__sha", F.lit(3)), F.lit(ranges)).cast("int")
+    split = materialize(signed.withColumn("__range", at), by="__range")
+    for r in range(ranges):
+        out = tested(split.where(F.col("__range") == r).drop("__range"))
+        out.write.parquet(f"{path}/range={r}")
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def _best() -> Column:
     # most code points, then the smallest id; a null id comes last
     return F.max(F.struct("__len", F.col("__id").isNotNull(), -F.col("__id"), "__id"))["__id"]
@@ -91,8 +130,7 @@ def exact_groups(
         _signed(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").drop("__text")
     )
     total = signed.count()
-    bits = bitmap_size(total, BITS_PER_ROW, max_bits)
-    tested = possibly_repeated(signed, materialize(repeated_bitmap(signed, bits)), bits)
+    tested = tested_rows(signed, total, max_bits)
     alone = tested.where(~F.col("__maybe")).select(
         F.col("__id").alias(id_col),
         F.col("__id").alias("keep_id"),
@@ -125,22 +163,29 @@ def drop_exact_copies(
 ) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns unchanged.
 
-    Which row stays is as in :func:`exact_groups`.  Rows that the filter
-    shows to be unique pass without a shuffle.
+    Which row stays is as in :func:`exact_groups`.  Groups are found on rows
+    without their texts; then a bitmap of the hashes that are repeated tells
+    which whole rows shuffle.  All others pass straight through.
     """
     signed = _signed(packed(docs, __id=id_col, __text=text_col), "__text").drop("__text")
-    slim = materialize(signed.select("__sha"))
+    slim = materialize(signed.drop("__row"))
     total = slim.count()
-    bits = bitmap_size(total, BITS_PER_ROW, max_bits)
-    tested = possibly_repeated(signed, materialize(repeated_bitmap(slim, bits)), bits)
-    alone = tested.where(~F.col("__maybe")).select("__row.*")
-    maybe = tested.where("__maybe")
     keep = materialize(
-        maybe.groupBy("__sha").agg(_best().alias("__keep"), F.max("__len").alias("__keep_len"), F.count("*").alias("__size"))
+        tested_rows(slim, total, max_bits)
+        .where("__maybe")
+        .groupBy("__sha")
+        .agg(_best().alias("__keep"), F.max("__len").alias("__keep_len"), F.count("*").alias("__size"))
+        .where("__size > 1")
     )
+    bits = bitmap_size(keep.count(), BITS_PER_ROW, max_bits)
+    tested = possibly_repeated(signed, materialize(bitmap_of(keep, bits)), bits)
+    alone = tested.where(~F.col("__maybe")).select("__row.*")
     stay = (
-        join_heavy(maybe, keep, ["__sha"], "__size", total)
-        .where(F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__len") == F.col("__keep_len")))
+        join_heavy(tested.where("__maybe"), keep, ["__sha"], "__size", total, "left")
+        .where(
+            F.col("__keep_len").isNull()
+            | (F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__len") == F.col("__keep_len")))
+        )
         .groupBy("__sha")
         .agg(F.first("__row").alias("__row"))
         .select("__row.*")
