@@ -9,9 +9,11 @@ likeness 1 - d / 128.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import SPACE, materialize
+from ._shared import SPACE, join_heavy, materialize
 
 BITS = 128
 SHINGLE_WORDS = 5
@@ -91,35 +93,52 @@ def _bucket(id_col: Column, bounds: list[int]) -> Column:
     step = max(1, round(len(bounds) ** 0.5))
     fine = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
 
-    def above(values: list[int]) -> Column:
-        kept = F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<bigint>")
-        return F.size(F.filter(kept, lambda v: v > id_col))
+    def lists(values: list, kind: str) -> Column:
+        # one constant of any size, not an expression for each number
+        return F.from_json(F.lit(json.dumps(values)), kind)
+
+    def above(values: Column) -> Column:
+        return F.size(F.filter(values, lambda v: v > id_col))
 
     last = F.lit(len(bounds))
-    coarse = above([x[0] for x in fine if x])
-    rows = F.array(*[F.array(*[F.lit(v).cast("long") for v in x]) if x else F.array().cast("array<bigint>") for x in fine])
-    inside = F.size(F.filter(F.get(rows, F.greatest(coarse - 1, F.lit(0))), lambda v: v > id_col))
+    coarse = above(lists([x[0] for x in fine if x], "array<bigint>"))
+    inside = above(F.get(lists(fine, "array<array<bigint>>"), F.greatest(coarse - 1, F.lit(0))))
     # bounds fall: what lies in earlier lists is above, then those of the list reached
     found = F.when(coarse > 0, (coarse - 1) * step + inside).otherwise(F.lit(0))
     return F.when(id_col.isNull(), last).otherwise(found)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+#: Bytes of text that a range of ids holds, about.
+RANGE_BYTES = 128 << 20
+
+
+def _lower_ends(ids: DataFrame, ranges: int) -> list[int]:
+    """The smallest id of each range but the last, falling: at most one number a range."""
+    if ranges == 1:
+        return []
+    dealt = ids.where("id IS NOT NULL").repartitionByRange(ranges, F.col("id").desc())
+    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("low")).collect()
+    return sorted((r["low"] for r in ends), reverse=True)[:-1]
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
     """id, th, text, next_id, next_th, next_text in falling order of ids.
 
     The last document is followed by the first.  Ids are dealt to ranges, so
     texts shuffle once; the first document of each range is sent to the range
-    before it as well.  Equal ids stand in the order of their text's hash,
+    before it as well.  There are as many ranges (``buckets``) as shuffle
+    partitions, or more: one for each ``RANGE_BYTES`` of text.  Equal ids stand in the order of their text's hash,
     null ids come last.
     """
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
     ).withColumn("th", F.xxhash64("text"))
-    cuts = [(i + 1) / buckets for i in range(buckets - 1)]
-    found = base.agg(F.percentile_approx("id", cuts, 10000)).first()[0] if cuts else None
-    bounds = sorted(set(found or []), reverse=True)
+    if buckets is None:
+        size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    bounds = _lower_ends(base.select("id"), buckets)
     placed = base.withColumn("bucket", _bucket(F.col("id"), bounds))
-    # at most ``buckets`` rows reach the driver
+    # at most a row a range reaches the driver
     heads = sorted((r["bucket"], r["head"]) for r in placed.groupBy("bucket").agg(F.max("id").alias("head")).collect())
     order = [b for b, _ in heads]
     before = {b: order[i - 1] for i, b in enumerate(order)}
@@ -234,8 +253,6 @@ def edited_fingerprints(
     as empty, null ids come last, repeated rows give a row each; an empty
     table gives an empty result.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn(
         "th", F.xxhash64("text")
     )
@@ -270,17 +287,21 @@ def edited_fingerprints(
     pair = lambda p: (F.col(f"{p}_hi"), F.col(f"{p}_lo"))
     classes = rows.groupBy(F.col("o_hi").alias("hi"), F.col("o_lo").alias("lo")).agg(F.count("*").alias("n"))
     asked = rows.where(F.col("id") % query_every == 0).select(F.col("o_hi").alias("hi"), F.col("o_lo").alias("lo")).distinct()
-    near = (
+    # a query's own class lies at distance 0; its size tells a heavy fingerprint
+    near = materialize(
         near_fingerprints(asked, classes.select("hi", "lo"), radius)
         .join(classes, ["hi", "lo"])
         .groupBy(F.col("q_hi").alias("o_hi"), F.col("q_lo").alias("o_lo"))
-        .agg((F.sum("n") - 1).alias("__near"))
+        .agg((F.sum("n") - 1).alias("__near"), F.max(F.when(F.col("distance") == 0, F.col("n"))).alias("__size"))
     )
-    return rows.join(near, ["o_hi", "o_lo"], "left").select(
+    is_query = F.coalesce(F.col("id") % query_every == 0, F.lit(False))
+    answered = join_heavy(rows.where(is_query), near, ["o_hi", "o_lo"], "__size", rows.count()).drop("__size")
+    others = rows.where(~is_query).withColumn("__near", F.lit(None).cast("long"))
+    return others.unionByName(answered).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
         fingerprint_string(*pair("o")).alias("fingerprint"),
         fingerprint_string(*pair("e")).alias("edited_fingerprint"),
         (1 - distance(pair("o"), pair("e")) / BITS).cast("double").alias("near_edited"),
         (1 - distance(pair("o"), pair("n")) / BITS).cast("double").alias("near_next"),
-        F.when(F.col("id") % query_every == 0, F.col("__near")).alias("n_near"),
+        F.col("__near").alias("n_near"),
     )

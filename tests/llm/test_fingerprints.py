@@ -151,3 +151,19 @@ def test_near_copies_of_likeness_four_fifths_are_counted(make):
         rows += [(i * 100, " ".join(w)), (i * 100 + 1, " ".join(copy))]
     got = [x.n_near for x in fingerprints.edited_fingerprints(make(rows)).collect() if x.doc_id % 100 == 0]
     assert max(got) == 1 and sum(got) >= 28
+
+
+def test_ranges_follow_the_bytes_of_text(make, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 40)
+    rows = [(i * 7 % 101, f"text of number {i}") for i in range(101)] + [(None, "null")]
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))]
+    got = {r.text: r.next_text for r in fingerprints.with_next(make(rows), "doc_id", "text").collect()}
+    assert got == {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+
+
+def test_queries_of_one_large_group(make):
+    same, other = "the same words stand in every one of these texts", "quite another text that nobody else has written"
+    rows = [(i * 100, same) for i in range(700)] + [(i * 100 + 1, same) for i in range(50)] + [(90_000, other), (90_001, None)]
+    got = {r.doc_id: r.n_near for r in fingerprints.edited_fingerprints(make(rows)).collect()}
+    assert {got[i * 100] for i in range(700)} == {749} and got[90_000] == 0
+    assert {got[i * 100 + 1] for i in range(50)} | {got[90_001]} == {None}
