@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -19,5 +21,31 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK
 
 
+#: Folders given inside each open :func:`scratch`, the innermost last.
+_given: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/emberlog-{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/emberlog-{name}-{uuid.uuid4().hex}"
+    if _given:
+        _given[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what :func:`fresh_dir` gave meanwhile.
+
+    What is to last must be written elsewhere before.  After an error the
+    folders stay, to be looked at.  For one thread of the driver at a time.
+    """
+    _given.append([])
+    try:
+        yield
+    except BaseException:
+        _given.pop()
+        raise
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in _given.pop():
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)

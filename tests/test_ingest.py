@@ -57,6 +57,17 @@ def test_seq_files_of_five_records(spark, tmp_path):
         assert bad.count() == 0
 
 
+def test_seq_files_are_split(spark, tmp_path):
+    (tmp_path / "big").write_text("".join(f'{{"@m":"m{i}"}}\r\n' for i in range(200_000)))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+    try:
+        rows = read_seq(spark, str(tmp_path / "big"))
+        assert rows.rdd.getNumPartitions() > 3 and rows.distinct().count() == rows.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
 def test_v2(spark):
     good = '[{"time_stamp":"2025-01-02T03:04:05Z","level":"Error","message":"m","context":{"a":"b"}},{"time_stamp":"2025-01-02T03:04:06Z","level":"Info","process":"p","message":"n"}]'
     rows = parse_v2(spark.createDataFrame([(good,)], "body string")).orderBy("timestamp").collect()
