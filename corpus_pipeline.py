@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import bpe, exact_dedup, jaccard, mixing, quality
 from emberlog.llm._shared import table, without_rows
-from emberlog.storage import fresh_dir
+from emberlog.storage import fresh_dir, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -63,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    Intermediates of a stage are deleted once it is written; the last stage has none.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = fresh_dir(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
