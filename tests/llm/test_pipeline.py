@@ -78,3 +78,13 @@ def test_stages_take_awkward_documents(spark, make, tmp_path):
             f(spark, docs, SF).write.parquet(f"{tmp_path}/{n}{i}")
             docs = spark.read.parquet(f"{tmp_path}/{n}{i}")
         assert "token_ids" in docs.columns
+
+
+def test_run_leaves_its_stages_only(spark, staged, tmp_path, monkeypatch):
+    import os
+
+    from emberlog import storage
+
+    monkeypatch.setattr(storage, "work_dir", lambda spark: str(tmp_path))
+    assert ids(corpus_pipeline.run(spark, SF)) == ids(staged[-1])
+    assert [n.split("-")[1] for n in os.listdir(tmp_path)] == ["pipeline"]
