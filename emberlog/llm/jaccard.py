@@ -15,7 +15,14 @@ segments, so some segment of the pair is equal, and documents that share no
 segment can be kept apart without losing a link.  What shares segments forms a
 cluster; R-trees are built per cluster, in chunks of bounded size.
 
+Passages that many documents share would chain most of a corpus into one
+cluster.  So there are more segments than D + 1, a pair has that many more equal
+ones, and each document leaves out that many of its own, those with the fewest
+rare shingles, in one order for all.  Which shingles are popular and not rare is
+counted on a sample, so a poor sample costs time and no link.
+
 Steps, each a shuffle of slim rows:
+ 0. shingles of a sample of texts are counted; popular ones become a bitmap;
  1. one pass over the texts: sizes, digests, points; equal segments give edges;
     repeats within a batch are joined before anything shuffles;
  2. clusters = components of these edges; R-trees over points part them into
@@ -36,10 +43,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._hashing import BYTE, STEP, U64, mix, span_hashes
-from ._shared import connected_components, id_bitmap, in_bitmap, join_heavy, lean, least_of_components, materialize
+from ._shared import BITMAP_ROW, bitmap_size, connected_components, id_bitmap, in_bitmap, join_heavy, lean, least_of_components, materialize
 
 #: Groups of the points; the tree's nodes hold them folded to COARSE sums.
 GROUPS = 256
@@ -50,6 +58,11 @@ FAN_OUT = 16
 POINT_CHUNK = 16_384
 SET_CHUNK = 1 << 22
 PIVOTS = 4
+#: Rows whose shingles are counted, about, and texts among them that a popular shingle has.
+SAMPLE_ROWS = 1 << 16
+POPULAR = 3
+#: Segments that may be left out beside the empty ones, as a share of the differences.
+EXTRA = 0.1
 _PIECE = 1 << 20
 _FLUSH_PAIRS = 1 << 20
 _RATIO = 1.3
@@ -195,12 +208,12 @@ class Threshold:
 
 @lru_cache(maxsize=8)
 def levels(t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size levels: first size, segments, and empty segments allowed for.
+    """Size levels: first size, segments, and segments that may be left out.
 
     A pair meets at the level of its smaller set.  Segments outnumber the
     differences of a pair by one and by the empty segments that sets of the
     level usually have (mean and three deviations), as two empty segments say
-    nothing.  A set with more of them uses its empty segments as well.
+    nothing, and by a share of the differences for segments of popular shingles.
     """
     first, segments, spare = [1], [], []
     while first[-1] < 1 << 40:
@@ -208,24 +221,33 @@ def levels(t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for low, beyond in zip(first, first[1:]):
         top = beyond - 1
         need = t.most_differences(top, top * t.den // t.num) + 1
-        e = 0
+        e = more = int(need * EXTRA)
         for _ in range(12):
             g = need + e
             mean = g * (1 - 1 / g) ** low if g > 1 else 0.0
-            e = int(np.ceil(mean + 3 * mean**0.5)) if mean > 1e-3 else 0
+            e = more + (int(np.ceil(mean + 3 * mean**0.5)) if mean > 1e-3 else 0)
         segments.append(need + e)
         spare.append(e)
     return np.array(first[:-1]), np.array(segments), np.array(spare)
 
 
-def segment_keys(sets: Sets, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, documents): equal keys for equal segments at equal levels."""
+def segment_keys(sets: Sets, t: Threshold, popular: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, documents): equal keys for equal segments at equal levels.
+
+    ``popular``: for each shingle, whether it is popular.  Of two sets that link,
+    one more segment than may be left out is equal.  Each set leaves out as many
+    as it may: its empty segments, then those first in the order of rare
+    shingles, shingles and hash, which is the same for equal segments.  The last
+    in that order of the equal ones so stays in both sets.  A set with more empty
+    segments than may be left out uses these as well.
+    """
     first, segments, spare = levels(t)
     own = np.searchsorted(first, sets.sizes, "right") - 1
     low = np.searchsorted(first, t.smallest(sets.sizes), "right") - 1
     keys, docs = [], []
     content = mix(sets.hashes + STEP[3])
     top = sets.hashes >> U64(32)
+    rare = np.ones(len(sets.hashes), bool) if popular is None else ~popular
     for down in range(int((own - low)[sets.sizes > 0].max(initial=-1)) + 1):
         level = own - down
         use = (sets.sizes > 0) & (level >= low)
@@ -240,11 +262,18 @@ def segment_keys(sets: Sets, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(new)
         d, s = doc[starts], seg[starts]
         sums = np.add.reduceat(c, starts)
+        may_go = spare[np.maximum(level, 0)]
+        filled = np.bincount(d, minlength=len(g))
+        n_rare = np.minimum(np.add.reduceat(rare[mine], starts, dtype=np.uint64), U64(31))
+        n_all = np.minimum(np.diff(starts, append=len(doc)), 31).astype(np.uint64)
+        # ties end by the number of the segment; equal segments have equal numbers
+        order = np.argsort(d.astype(np.uint64) << U64(40) | n_rare << U64(35) | n_all << U64(30) | sums >> U64(34), kind="stable")
+        stay = order[np.arange(len(d)) - (np.cumsum(filled) - filled)[d] >= (may_go - (g - filled))[d]]
+        d, s, sums = d[stay], s[stay], sums[stay]
         keys.append(mix(sums + mix(level[d].astype(np.uint64) * STEP[4] + s.astype(np.uint64) * STEP[5])))
         docs.append(d)
-        filled = np.bincount(d, minlength=len(sets.sizes))
-        for i in np.flatnonzero(use & (g - filled > spare[np.maximum(level, 0)])):
-            gone = np.setdiff1d(np.arange(g[i]), s[d == i]).astype(np.uint64)
+        for i in np.flatnonzero(use & (g - filled > may_go)):
+            gone = np.setdiff1d(np.arange(g[i]), seg[doc == i]).astype(np.uint64)
             keys.append(mix(mix(level[i : i + 1].astype(np.uint64) * STEP[4] + gone * STEP[5])))
             docs.append(np.full(len(gone), i))
     if not keys:
@@ -252,6 +281,17 @@ def segment_keys(sets: Sets, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(docs)
 
 
+def _place(hashes: np.ndarray) -> np.ndarray:
+    """40 bits of each hash, of which as many as needed are the place in a bitmap."""
+    return hashes >> U64(24)
+
+
+def is_popular(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the bit of each shingle is set; another shingle's bit only makes one popular more."""
+    at = _place(hashes) & U64(len(bitmap) * 8 - 1)
+    return (bitmap[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _equal_runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key; edges from the first node of a run of equal keys to the
     others; which rows are first of their run (in that order)."""
@@ -369,7 +409,84 @@ def all_links(sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray], sid
 # ---------------------------------------------------------------- Spark steps
 
 
-def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> DataFrame:
+def _batches_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``_PIECE`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+    a = 0
+    while a < b.num_rows:
+        e, size = a, 0
+        while e < b.num_rows and (e == a or size + sizes[e] <= _PIECE):
+            size += sizes[e]
+            e += 1
+        yield b.slice(a, e - a)
+        a = e
+
+
+def popular_shingles(docs: DataFrame, rows: int, words: int, buckets: int) -> np.ndarray:
+    """A bitmap of the shingles that ``POPULAR`` or more texts of a sample of ``docs`` (th, text) have.
+
+    The sample is bounded, so its shingles are as many whatever the table; each
+    text of it counts once in a task.
+    """
+    one_in = max(1, rows // SAMPLE_ROWS, min(8, rows // 1000))
+    sample = docs.where(F.pmod(F.xxhash64("th", F.lit(8)), F.lit(one_in)) == 0).where("text is not null").select("th", "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+            p = np.concatenate(held)
+            to = (p % U64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            p5 = p[order].view(np.uint8).reshape(-1, 8)[:, :5]
+            used = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([p5[cut[x] : cut[x + 1]].tobytes() for x in used], pa.binary())], names=["bucket", "places"])
+
+        held, n = [], 0
+        for whole in batches:
+            for b in _batches_of(whole):
+                new = [x for th, x in zip(b.column("th").to_pylist(), b.column("text").to_pylist()) if not (th in seen or seen.add(th))]
+                if new:
+                    held.append(_place(shingle_sets(new, words).hashes))
+                    n += len(held[-1])
+                if n >= _FLUSH_PAIRS:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def common(bucket: list[bytes]) -> pa.RecordBatch:
+            p5 = np.frombuffer(b"".join(bucket), np.uint8).reshape(-1, 5)
+            p = np.zeros((len(p5), 8), np.uint8)
+            p[:, :5] = p5
+            at, k = np.unique(p.view(np.int64).ravel(), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(at[k >= POPULAR])], names=["p"])
+
+        now, held = None, []
+        for b in batches:
+            for at, p in zip(b.column("bucket").to_pylist(), b.column("places").to_pylist()):
+                if at != now:
+                    if held:
+                        yield common(held)
+                    now, held = at, []
+                held.append(p)
+        if held:
+            yield common(held)
+
+    dealt = sample.mapInArrow(lean(scan), "bucket int, places binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = materialize(dealt.mapInArrow(lean(count), "p bigint"))
+    bits = bitmap_size(found.count(), 32)
+    at = found.select(F.pmod("p", F.lit(bits)).alias("p"))
+    parts = at.groupBy(F.expr(f"p div {BITMAP_ROW}").alias("no")).agg(F.bitmap_construct_agg(F.col("p") % BITMAP_ROW).alias("map"))
+    bitmap = np.zeros((bits // BITMAP_ROW, BITMAP_ROW // 8), np.uint8)
+    for no, part in parts.collect():  # 16 MB at most
+        bitmap[no] = np.frombuffer(part, np.uint8)
+    return bitmap.ravel()
+
+
+def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int, popular: Broadcast) -> DataFrame:
     """Rows of two kinds: a document (id, th, n, d1, d2, point), or an edge (a, b)."""
     map_schema = "bucket int, keys binary, nodes binary, id bigint, th bigint, n bigint, d1 bigint, d2 bigint, point binary"
     names = [f.strip().split(" ")[0] for f in map_schema.split(",")]
@@ -404,29 +521,22 @@ def _first_pass(docs: DataFrame, words: int, t: Threshold, buckets: int) -> Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-            a = 0
-            while a < b.num_rows:
-                e, size = a, 0
-                while e < b.num_rows and (e == a or size + sizes[e] <= _PIECE):
-                    size += sizes[e]
-                    e += 1
-                sets = shingle_sets([x or "" for x in b.column("text").slice(a, e - a).to_pylist()], words)
+        for whole in batches:
+            for b in _batches_of(whole):
+                sets = shingle_sets([x or "" for x in b.column("text").to_pylist()], words)
                 d1, d2 = digests(sets)
                 points = count_vectors(sets)
                 node = d1.view(np.uint64) & mask
                 cols = {"bucket": (node % U64(buckets)).astype(np.int32).tolist(), "n": sets.sizes.tolist(), "d1": d1.tolist(), "d2": d2.tolist(), "point": _packed_points(points)}
-                cols |= {"id": b.column("id").slice(a, e - a).to_pylist(), "th": b.column("th").slice(a, e - a).to_pylist()}
-                yield batch(cols, e - a)
-                k, d = segment_keys(sets, t)
+                cols |= {"id": b.column("id").to_pylist(), "th": b.column("th").to_pylist()}
+                yield batch(cols, b.num_rows)
+                k, d = segment_keys(sets, t, is_popular(sets.hashes, popular.value))
                 keys.append(k)
                 nodes.append(node[d].view(np.int64))
                 held += len(k)
                 if held >= _FLUSH_PAIRS:
                     yield from packed(keys, nodes)
                     keys, nodes, held = [], [], 0
-                a = e
         yield from packed(keys, nodes)
 
     out_schema = "a bigint, b bigint, id bigint, th bigint, n bigint, d1 bigint, d2 bigint, point binary"
@@ -569,8 +679,11 @@ class _Prepared:
 def _prepared(docs: DataFrame, id_col: str, text_col: str, words: int, t: Threshold) -> _Prepared:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
-    passed = materialize(_first_pass(base, words, t, buckets))
+    total = docs.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
+    popular = spark.sparkContext.broadcast(popular_shingles(base, total, words, buckets))
+    passed = materialize(_first_pass(base, words, t, buckets, popular))
+    popular.unpersist()
     node = F.expr("d1 & 281474976710655")
     rows = passed.where("n is not null").select("id", "th", "n", "d1", "d2")
     classes = materialize(

@@ -111,6 +111,50 @@ def test_segments_meet_for_every_link():
                     assert len(np.intersect1d(keys[docs == 0], keys[docs == 1]))
 
 
+def test_segments_meet_whatever_is_popular():
+    """Segments of popular shingles are left out by no more than a pair can spare."""
+    r = np.random.default_rng(2)
+    for num, den in ((90, 100), (8, 10)):
+        t = jaccard.Threshold(num, den)
+        for n in [1, 2, 4, 10, 30, 77, 200, 900]:
+            for share in (0.2, 0.5, 0.8, 0.95, 1):
+                for _ in range(8):
+                    a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+                    keep = r.permutation(len(a))[: len(a) - r.integers(0, len(a) // 5 + 1)]
+                    b = np.unique(np.concatenate([a[keep], r.integers(0, 2**64, r.integers(0, n // 8 + 1), dtype=np.uint64)]))
+                    both = np.concatenate([a, b])
+                    s = jaccard.Sets(both, np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]))
+                    keys, docs = jaccard.segment_keys(s, t, both >> np.uint64(32) < share * 2**32)
+                    # worst for a pair that differs most: what differs is rare, what is equal popular
+                    common = np.isin(both, np.intersect1d(a, b))
+                    worst, at = jaccard.segment_keys(s, t, common)
+                    if len(b) and t.links(len(np.intersect1d(a, b)), len(a), len(b)):
+                        assert len(np.intersect1d(keys[docs == 0], keys[docs == 1]))
+                        assert len(np.intersect1d(worst[at == 0], worst[at == 1]))
+
+
+def test_common_passages_chain_no_clusters(make, monkeypatch):
+    """Documents that share passages, but are no near copies, do not gather in one cluster."""
+    largest, run = [], jaccard._chunked_components
+
+    def spy(members, t, with_sets):
+        largest.append(max([r.size for r in members.select("size").collect()], default=0))
+        return run(members, t, with_sets)
+
+    monkeypatch.setattr(jaccard, "_chunked_components", spy)
+    r = random.Random(3)
+    passages = [[f"p{i}x{j}" for j in range(40)] for i in range(6)]
+    rows = []
+    for i in range(400):
+        own = [f"o{i}x{j}" for j in range(r.randrange(90, 140))]
+        rows.append((i, " ".join(own + r.choice(passages) + r.choice(passages))))
+        if i % 10 == 0:
+            rows.append((1000 + i, rows[-1][1] + " and a tail"))
+    got = jaccard.jaccard_components(make(rows).repartition(3), words=5, num=8, den=10)
+    assert result(got) == brute(rows, 5, 8, 10)
+    assert largest[0] <= 20
+
+
 def test_packed_points():
     points = np.array([[1] * jaccard.GROUPS, [70_000] + [0] * (jaccard.GROUPS - 1)], np.int32)
     assert np.array_equal(jaccard._unpacked_points(jaccard._packed_points(points)), points)
